@@ -94,6 +94,7 @@ class Tokens:
         self.end = np.flatnonzero(word & ~after) + 1
         self.first = np.searchsorted(self.start, at)
         self.doc = np.repeat(np.arange(len(at) - 1), np.diff(self.first))
+        self.text = text
         total = prefix_sums(text)
         self.hash = mix((total[self.end] - total[self.start]) * powers(len(text), _INV)[self.start] + (self.end - self.start).astype(U64))
 
