@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dup, packing, pitman_yor, quality, secrets
+from . import decontaminate, html_text, near_dup, neighbours, packing, pitman_yor, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,11 +32,22 @@ def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.groups(_table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each vector whose id is divisible by 20: the 20 nearest others found, by inner product."""
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
 def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: log10 probabilities of its words under the model and under add-one unigrams, learnt outside fold 2 of 7."""
     return pitman_yor.score(_table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: its main text and that text's code points."""
+    out = html_text.extract(_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, max_train: int = 3000) -> quality.Model:
     """A quality model from the labels outside fold 2 of 4: at most ``max_train`` of them, those whose id hashes lowest."""
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold("doc_id", 4) != 2)).select("doc_id", F.col("quality").alias("label"))
@@ -63,7 +74,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_near_dup, op5_pitman_yor, op8_quality, op9_packing, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_near_dup, op4_neighbours, op5_pitman_yor, op7_html_text, op8_quality, op9_packing, op10_decontaminate)}
 
 _SPANS = """
     select doc_id, {k} as kind, i, m[i] as value, length(g[i]) as least,
