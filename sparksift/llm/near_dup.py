@@ -4,13 +4,14 @@ A document's set is its distinct word shingles (with fewer words, the whole sequ
 and linked with nothing). Documents link where the Jaccard similarity of their whole sets is at least
 ``threshold``; a group is a connected component of links.
 
-1. One pass makes each set's size, a 128-bit hash of the whole set, ``bands * rows`` minima and the band keys.
-   Equal sets meet by that hash and go on as one representative, so copies never make pairs.
+1. One pass makes each set's size, a 128-bit hash of the whole set and the band keys of its minima. Equal sets
+   meet by that hash and go on as one representative, so copies never make pairs.
 2. Representatives that share a band key are candidates. At the defaults (32 bands of 4) a pair at
    similarity 0.8 shares none with probability (1 - 0.8**4)**32 < 6e-8. Buckets with the same members count once.
-3. Each candidate's minima are compared in batches of 16. After n of them with m equal the similarity has the
-   posterior Beta(m + 1, n - m + 1); the pair goes once P(similarity >= threshold) < ``miss``.
-4. Survivors are verified on the whole sets, made again from the texts of just the documents concerned.
+   For candidates the set and a signature of ``SIGNATURE`` minima (8 bits of each) are made from their texts.
+3. Signatures are compared in batches. After n minima with m equal the similarity has the posterior
+   Beta(m + 1, n - m + 1); the pair goes once P(similarity >= threshold) < ``miss``.
+4. Survivors are verified on the whole sets.
 
 Members are first compared with their bucket's least; what this joins needs no other pair. Buckets that still
 hold several groups are compared throughout, in pairs of blocks of ``block`` members, and only pairs across
@@ -23,7 +24,7 @@ group, or the least of theirs. An empty table gives no rows. Other columns are n
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +33,20 @@ from pyspark.sql import functions as F
 
 from .text import U64, Tokens, mix, powers, slices, stored
 
-BATCH = 16
+SIGNATURE = 1024
+#: Compared minima after which a pair may go.
+BATCHES = (16, 32, 64, 96, 128, 192, 256, 384, 512, 768, 1024)
+#: Ids of candidates up to which they are broadcast to fetch their texts (8 bytes each); beyond, texts and ids are shuffled.
+BROADCAST_IDS = 2_000_000
 
 
-def minimum_matches(threshold: float, miss: float, total: int, batch: int = BATCH) -> list[tuple[int, int]]:
+def minimum_matches(threshold: float, miss: float) -> list[tuple[int, int]]:
     """After n compared minima, the fewest matches at which P(similarity >= threshold) is at least ``miss``."""
     out = []
-    for n in range(batch, total + 1, batch):
+    for n in BATCHES:
         tail, need = 0.0, n + 1
         for m in range(n + 1):
-            tail += comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
+            tail += exp(lgamma(n + 2) - lgamma(m + 1) - lgamma(n + 2 - m) + m * log(threshold) + (n + 1 - m) * log1p(-threshold))
             if tail >= miss:
                 need = m
                 break
@@ -62,7 +67,7 @@ def set_of(t: Tokens, i: int, words: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 4, bands: int = 32, rows: int = 4, seed: int = 1) -> DataFrame:
-    """id, n (set size), a and b (hash of the whole set), sig (16 low bits of each minimum), keys (a long for each band)."""
+    """id, n (set size), a and b (hash of the whole set), keys (a long for each band)."""
     rng = np.random.default_rng(seed)
     mul = rng.integers(0, 1 << 31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     add = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint64).astype(np.uint32)
@@ -75,7 +80,7 @@ def signatures(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", w
                 sets = [set_of(t, i, words) for i in range(part.num_rows)]
                 size = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(size)
-                sig, keys = [None] * len(sets), [None] * len(sets)
+                keys = [None] * len(sets)
                 a, b = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
                 if len(full):
                     every = np.concatenate([sets[i] for i in full])
@@ -91,13 +96,12 @@ def signatures(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", w
                         x ^= add[k]
                         least[:, k] = np.minimum.reduceat(x, first)
                     key = (mix(least.astype(U64).reshape(len(full), bands, rows) * weight).sum(2) + np.arange(bands, dtype=np.uint64) * U64(0xA24BAED4963EE407)).view(np.int64)
-                    small = least.astype(np.uint16)
                     for j, i in enumerate(full):
-                        sig[i], keys[i] = small[j].tobytes(), key[j]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size), pa.array(a), pa.array(b), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "a", "b", "sig", "keys"])
+                        keys[i] = key[j]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size), pa.array(a), pa.array(b), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "a", "b", "keys"])
 
     inner = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    return inner.mapInArrow(run, f"id {inner.schema['id'].dataType.simpleString()}, n long, a long, b long, sig binary, keys array<long>")
+    return inner.mapInArrow(run, f"id {inner.schema['id'].dataType.simpleString()}, n long, a long, b long, keys array<long>")
 
 
 def _posterior(x: np.ndarray, y: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
@@ -110,43 +114,55 @@ def _posterior(x: np.ndarray, y: np.ndarray, steps: list[tuple[int, int]]) -> np
     return alive
 
 
-def _pruned(pairs: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
-    """Pairs (a, b, x, y) whose minima x and y leave them a chance."""
+def candidate_sets(docs: DataFrame, ids: DataFrame, words: int, seed: int = 2) -> DataFrame:
+    """(id, s, sig): the set and signature of the documents (id, text) with these ids, one row for each id."""
+    rng = np.random.default_rng(seed)
+    mul = rng.integers(0, 1 << 31, (SIGNATURE, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    add = rng.integers(0, 1 << 32, (SIGNATURE, 1), dtype=np.uint64).astype(np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("x", "y"))
-                yield batch.select(["a", "b"]).take(pa.array(_posterior(x, y, steps)))
+            for part, body, at in slices(batch, "text"):
+                t = Tokens(body, at)
+                sets = [set_of(t, i, words) for i in range(part.num_rows)]
+                sigs = []
+                for s in sets:
+                    low, least = (s >> U64(32)).astype(np.uint32) ^ s.astype(np.uint32), np.full(SIGNATURE, 0xFFFFFFFF, np.uint32)
+                    for i in range(0, len(low), 256):
+                        x = low[i : i + 256] * mul
+                        x ^= x >> np.uint32(15)
+                        x *= np.uint32(0x2C1B3C6D)
+                        x ^= add
+                        np.minimum(least, x.min(1), out=least)
+                    sigs.append((least ^ (least >> np.uint32(16))).astype(np.uint8).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(sigs, pa.binary())], names=["id", "s", "sig"])
 
-    return pairs.mapInArrow(run, pairs.select("a", "b").schema)
+    few = ids.count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    return texts.mapInArrow(run, f"id {ids.schema['id'].dataType.simpleString()}, s binary, sig binary").dropDuplicates(["id"])
 
 
-def _exact(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose whole sets reach the threshold."""
+def _signed(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(rows, -1)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, body, at in slices(batch, "text"):
-                t = Tokens(body, at)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([set_of(t, i, words).tobytes() for i in range(part.num_rows)], pa.binary())], names=["id", "s"])
+
+def _verified(pairs: DataFrame, sets: DataFrame, steps: list[tuple[int, int]], percent: int) -> DataFrame:
+    """The pairs (a, b) of ids that survive by signature and whose whole sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             keep = []
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+            for i in _posterior(_signed(batch.column("u"), batch.num_rows), _signed(batch.column("v"), batch.num_rows), steps).tolist():
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), U64) for c in ("x", "y"))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    kind = pairs.schema["a"].dataType.simpleString()
-    texts = docs.join(ids, "id", "left_semi").dropDuplicates(["id"]) if docs.columns == ["id", "text"] else None
-    s = stored(texts.mapInArrow(sets, f"id {kind}, s binary"), "sets")
-    both = pairs.join(s.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, pairs.select("a", "b").schema)
+    left, right = (sets.select(F.col("id").alias(i), F.col("s").alias(s), F.col("sig").alias(sig)) for i, s, sig in (("a", "x", "u"), ("b", "y", "v")))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "u", "v", "x", "y").mapInArrow(run, pairs.select("a", "b").schema)
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
@@ -164,17 +180,17 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _across(members: DataFrame, sigs: DataFrame, steps: list[tuple[int, int]], block: int) -> DataFrame:
+def _across(members: DataFrame, sets: DataFrame, steps: list[tuple[int, int]], block: int) -> DataFrame:
     """Of buckets (bucket, id, comp, n): the surviving pairs of different groups, by pairs of blocks of members."""
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
-    m = members.join(sigs, "id").withColumn("k", blocks).withColumn("i", F.expr("cast(pmod(xxhash64(id), k) as int)"))
+    m = members.join(sets.select("id", "sig"), "id").withColumn("k", blocks).withColumn("i", F.expr("cast(pmod(xxhash64(id), k) as int)"))
     m = m.withColumn("j", F.explode(F.expr("sequence(0, k - 1)")))
     dealt = m.select("bucket", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "id", "comp", "sig")
     kind = members.schema["id"].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(table.num_rows, -1)
+        sig = _signed(table.column("sig"), table.num_rows)
         comp, side = table.column("comp").to_numpy(), table.column("i").to_numpy()
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         left = np.flatnonzero(side == lo)
@@ -197,31 +213,28 @@ def _across(members: DataFrame, sigs: DataFrame, steps: list[tuple[int, int]], b
 
 def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, miss: float = 1e-6, block: int = 512) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, n_shingles, component_id (least id reachable, itself included), kept (it is its group's least)."""
-    steps = minimum_matches(percent / 100, miss, bands * rows)
+    steps = minimum_matches(percent / 100, miss)
     whole = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     every = stored(signatures(docs, doc_id=doc_id, text=text, words=words, bands=bands, rows=rows), "signatures")
     full = every.where("n > 0 and id is not null")
     reps = stored(full.groupBy("a", "b").agg(F.min("id").alias("rep")), "reps")
-    sigs = every.join(reps, [every.a == reps.a, every.b == reps.b, every.id == reps.rep], "left_semi").select("id", "sig", "keys").dropDuplicates(["id"])
-    sigs = stored(sigs, "rep-signatures")
-    bands_of = sigs.select("id", F.explode("keys").alias("key"))
+    keyed = every.join(reps, [every.a == reps.a, every.b == reps.b, every.id == reps.rep], "left_semi").select("id", "keys").dropDuplicates(["id"])
+    bands_of = stored(keyed, "keys").select("id", F.explode("keys").alias("key"))
     shared = bands_of.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead"), F.max("id").alias("last"), F.expr("sum(cast(xxhash64(id) as decimal(20,0)))").alias("s"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("x")).where("n > 1")
     once = stored(shared.groupBy("n", "lead", "last", "s", "x").agg(F.min("key").alias("bucket")).select("bucket", "n", "lead"), "buckets")
     members = stored(bands_of.join(once, bands_of.key == once.bucket).select("bucket", "n", "lead", "id"), "members")
-    ours = sigs.select("id", "sig")
+    sets = stored(candidate_sets(whole, members.select("id").distinct(), words), "sets")
 
-    star = members.where("lead <> id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    star = star.join(ours.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(ours.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b").select("a", "b", "x", "y")
-    tried = stored(_pruned(star, steps), "star")
-    links = stored(_exact(tried, whole, words, percent), "links")
+    star = stored(members.where("lead <> id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "star")
+    links = stored(_verified(star, sets, steps, percent), "links")
     comp = components(links)
     label = lambda m: m.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = label(members)
     several = mixed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket")
     rest = stored(mixed.join(several, "bucket", "left_semi").select("bucket", "n", "id", "comp"), "rest")
     if not rest.isEmpty():
-        more = _across(rest, ours, steps, block).join(tried, ["a", "b"], "left_anti")
-        more = stored(_exact(stored(more, "across"), whole, words, percent), "links")
+        more = _across(rest, sets, steps, block).join(star, ["a", "b"], "left_anti")
+        more = stored(_verified(stored(more, "across"), sets, steps, percent), "links")
         if not more.isEmpty():
             comp = components(links.union(more))
     named = reps.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("a", "b", F.coalesce("comp", "rep").alias("component"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, near_dup, neighbours, packing, pitman_yor, quality, secrets
+from . import decontaminate, html_text, licenses, near_dup, neighbours, packing, pitman_yor, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score(_table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document and license template that it holds: the containment and where it begins."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page: its main text and that text's code points."""
     out = html_text.extract(_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
@@ -74,7 +79,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_near_dup, op4_neighbours, op5_pitman_yor, op7_html_text, op8_quality, op9_packing, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_near_dup, op4_neighbours, op5_pitman_yor, op6_licenses, op7_html_text, op8_quality, op9_packing, op10_decontaminate)}
 
 _SPANS = """
     select doc_id, {k} as kind, i, m[i] as value, length(g[i]) as least,
@@ -105,6 +110,22 @@ named as (select *, ['assign', 'access', 'hex', 'hex_entropy', 'base64_entropy']
 select t.doc_id, cast(count(*) filter (kind = 0) as bigint) as n_assign, cast(count(*) filter (kind = 1) as bigint) as n_access, cast(count(*) filter (kind = 2) as bigint) as n_hex,
     sha256(coalesce(string_agg(span, ',' order by start, kind) filter (kind < 3), '')) as base_sha256, coalesce(string_agg(span, ',' order by start, kind), '') as spans
 from t left join named on t.doc_id = named.doc_id group by t.doc_id""",
+    "op6_licenses": f"""
+with templates(license, body) as (values {", ".join(f"({_sql(n)}, {_sql(t)})" for n, t in licenses.TEMPLATES)}),
+words as (
+    select 'd' as side, doc_id as id, '' as license, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') as w from documents
+    union all select 't', null, license, regexp_extract_all(lower(body), '[a-z0-9]+') from templates),
+shingles as (
+    select side, id, license, i - 1 as i, array_to_string(w[i:i+{licenses.WORDS - 1}], ' ') as s
+    from (select *, unnest(generate_series(1, greatest(1, len(w) - {licenses.WORDS - 1}))) as i from words where len(w) > 0)),
+sizes as (select license, count(*) as n, count(distinct s) as d from shingles where side = 't' group by 1),
+hits as (select distinct x.id, y.license, x.i, x.s from shingles x join shingles y on x.side = 'd' and y.side = 't' and x.s = y.s),
+windows as (
+    select a.id, a.license, a.i, count(distinct b.s) as c from hits a join sizes z on z.license = a.license
+    join hits b on b.id = a.id and b.license = a.license and b.i between a.i and a.i + z.n - 1 group by 1, 2, 3),
+best as (select id, license, max(c) as c, arg_max(i, c * 1000000000 - i) as i from windows group by 1, 2)
+select b.id as doc_id, b.license, cast(b.c as double) / z.d as containment, cast(b.i as bigint) as start_word, cast(z.n as bigint) as n_shingles
+from best b join sizes z on z.license = b.license where cast(b.c as double) / z.d >= 0.8""",
     "op2_near_dup": r"""
 with recursive w as (
     select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
