@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, licenses, near_dup, neighbours, packing, pitman_yor, quality, secrets
+from . import decontaminate, html_text, licenses, near_dup, neighbours, packing, pitman_yor, quality, secrets, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,13 @@ def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.groups(_table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its bytes, those that a 50-byte string of an earlier document covers, in how many runs, and a digest of the rest."""
+    out = suffix_dedup.deduplicate(_table(spark, sf_dir, "documents"), length=50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each vector whose id is divisible by 20: the 20 nearest others found, by inner product."""
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
@@ -79,7 +86,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_near_dup, op4_neighbours, op5_pitman_yor, op6_licenses, op7_html_text, op8_quality, op9_packing, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_near_dup, op3_suffix_dedup, op4_neighbours, op5_pitman_yor, op6_licenses, op7_html_text, op8_quality, op9_packing, op10_decontaminate)}
 
 _SPANS = """
     select doc_id, {k} as kind, i, m[i] as value, length(g[i]) as least,
@@ -110,6 +117,19 @@ named as (select *, ['assign', 'access', 'hex', 'hex_entropy', 'base64_entropy']
 select t.doc_id, cast(count(*) filter (kind = 0) as bigint) as n_assign, cast(count(*) filter (kind = 1) as bigint) as n_access, cast(count(*) filter (kind = 2) as bigint) as n_hex,
     sha256(coalesce(string_agg(span, ',' order by start, kind) filter (kind < 3), '')) as base_sha256, coalesce(string_agg(span, ',' order by start, kind), '') as spans
 from t left join named on t.doc_id = named.doc_id group by t.doc_id""",
+    "op3_suffix_dedup": """
+with t as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select doc_id, i, substr(h, 2 * i + 1, 100) as w from (select doc_id, h, unnest(generate_series(0, length(h) // 2 - 50)) as i from t where length(h) >= 100)),
+gone as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by w) as least from w) where least < doc_id),
+marks as (select doc_id, i, case when lag(i) over (partition by doc_id order by i) >= i - 50 then 0 else 1 end as fresh from gone),
+runs as (select doc_id, min(i) as a, max(i) + 50 as b from (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as run from marks) group by doc_id, run),
+kept as (
+    select doc_id, string_agg(piece, '' order by a) as h from (
+        select r.doc_id, r.a, substr(t.h, 2 * coalesce(lag(r.b) over (partition by r.doc_id order by r.a), 0) + 1, 2 * (r.a - coalesce(lag(r.b) over (partition by r.doc_id order by r.a), 0))) as piece from runs r join t on t.doc_id = r.doc_id
+        union all select r.doc_id, 1e18, substr(t.h, 2 * max(r.b) + 1) from runs r join t on t.doc_id = r.doc_id group by r.doc_id, t.h)
+    group by doc_id)
+select t.doc_id, cast(length(t.h) // 2 as bigint) as n_bytes, cast(coalesce(r.n, 0) as bigint) as n_removed, cast(coalesce(r.c, 0) as bigint) as n_spans, sha256(unhex(coalesce(k.h, t.h))) as kept_sha256
+from t left join (select doc_id, sum(b - a) as n, count(*) as c from runs group by 1) r on r.doc_id = t.doc_id left join kept k on k.doc_id = t.doc_id""",
     "op6_licenses": f"""
 with templates(license, body) as (values {", ".join(f"({_sql(n)}, {_sql(t)})" for n, t in licenses.TEMPLATES)}),
 words as (
