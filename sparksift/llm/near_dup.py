@@ -181,11 +181,12 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
 
 
 def _across(members: DataFrame, sets: DataFrame, steps: list[tuple[int, int]], block: int) -> DataFrame:
-    """Of buckets (bucket, id, comp, n): the surviving pairs of different groups, by pairs of blocks of members."""
+    """Of buckets (bucket, id, comp, n): the surviving pairs of different groups, by pairs of blocks of members; a pair comes from the least bucket that it shares."""
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
-    m = members.join(sets.select("id", "sig"), "id").withColumn("k", blocks).withColumn("i", F.expr("cast(pmod(xxhash64(id), k) as int)"))
+    lists = members.groupBy("id").agg(F.array_sort(F.collect_list("bucket")).alias("all"))  # one for each band at most
+    m = members.join(lists, "id").join(sets.select("id", "sig"), "id").withColumn("k", blocks).withColumn("i", F.expr("cast(pmod(xxhash64(id), k) as int)"))
     m = m.withColumn("j", F.explode(F.expr("sequence(0, k - 1)")))
-    dealt = m.select("bucket", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "id", "comp", "sig")
+    dealt = m.select("bucket", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "id", "comp", "sig", "all")
     kind = members.schema["id"].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
@@ -195,12 +196,14 @@ def _across(members: DataFrame, sets: DataFrame, steps: list[tuple[int, int]], b
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         left = np.flatnonzero(side == lo)
         right = np.flatnonzero(side == hi)
+        every, here = [set(x) for x in table.column("all").to_pylist()], table.column("bucket")[0].as_py()
         out_a, out_b = [], []
         for p in left:
             q = right[right > p] if lo == hi else right
             q = q[comp[q] != comp[p]]
             if len(q):
                 q = q[_posterior(np.broadcast_to(sig[p], (len(q), sig.shape[1])), sig[q], steps)]
+                q = np.array([x for x in q.tolist() if min(every[p] & every[x]) == here], np.int64)
                 out_a.append(np.full(len(q), p))
                 out_b.append(q)
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
