@@ -20,7 +20,7 @@ same id do not remove each other's bytes. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +38,12 @@ BROADCAST_KEYS = 2_000_000
 _NONE = np.iinfo(np.int64).max
 
 
-def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(text: np.ndarray, depth: int, need: Callable[[np.ndarray, int], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes by their first ``depth`` bytes (shorter before longer), and each one's rank; equal prefixes share a rank.
 
     Larsson and Sadakane's refinement: groups of equal rank are sorted by the rank ``h`` places on, and only
-    groups that are not single yet; ``h`` doubles.
+    groups that are not single yet; ``h`` doubles. ``need(positions, h)``, if given, says which suffixes have to be
+    told apart by ``h`` bytes; the place of others is not defined.
     """
     n = len(text)
     bits = max(1, int(n + 1).bit_length())
@@ -58,6 +59,8 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         step = min(h, depth - h)  # overlapping halves tell exactly ``depth`` bytes apart
         size = np.bincount(rank, minlength=n + 1)
         open_ = np.flatnonzero(size[rank] > 1)
+        if need is not None:
+            open_ = open_[need(open_, h + step)]
         if not len(open_):
             break
         far = np.where(open_ + step < n, rank[np.minimum(open_ + step, n - 1)] + 1, 0)
@@ -88,20 +91,19 @@ def _ranks(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """Kasai's common prefixes of neighbours in the order, up to ``most`` bytes (the first: 0).
+    """Kasai's common prefixes of neighbours in the order (of all suffixes, or of some), up to ``most`` bytes (the first: 0).
 
     In text order a common prefix falls by one at most, so after a match of ``most`` bytes only the rest need
     comparing; all positions are compared at once, in words of 8 bytes, and those that differ stop.
     """
     n = len(text)
-    out = np.zeros(n, np.int64)
-    if n < 2:
-        return out
+    if len(order) < 2:
+        return np.zeros(len(order), np.int64)
     padded = np.concatenate([text, np.zeros(8 + most, np.uint8)])
     word = np.zeros(n + most, U64)
     for k in range(8):
         word = (word << U64(8)) | padded[k : k + n + most].astype(U64)
-    before = np.empty(n, np.int64)
+    before = np.zeros(n, np.int64)
     before[order[1:]] = order[:-1]
     live = order[1:].copy()
     got = np.zeros(n, np.int64)
@@ -117,8 +119,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
         got[live] = h + 8
     got = np.minimum(got, np.minimum(most, n - np.maximum(np.arange(n), before)))
     got[order[0]] = 0
-    out[:] = got[order]
-    return out
+    return got[order]
 
 
 def anchors(body: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -263,6 +264,16 @@ def _meet(parts: int):
     return run
 
 
+def _codes(mat: np.ndarray, h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A hash of each context: its anchor, extent and bytes."""
+    words = np.zeros((len(mat), -(-mat.shape[1] // 8) * 8), np.uint8)
+    words[:, : mat.shape[1]] = mat
+    code = h + (lo * 256 + hi).astype(U64)
+    for c in words.view(U64).T:
+        code = mix(code ^ c)
+    return code
+
+
 def _context(length: int, shards: int, parts: int):
     """Step 2, by part: contexts to their shards; what a smaller id covers within the part, as runs."""
     left, right = length - GRAM, length
@@ -302,11 +313,7 @@ def _context(length: int, shards: int, parts: int):
         if not hs:
             return rows.table()
         mat, h, d, p, lo, hi = (np.concatenate(x) for x in (mats, hs, ds, ps, ls, rs))
-        words = np.zeros((len(mat), -(-(left + right) // 8) * 8), np.uint8)
-        words[:, : left + right] = mat
-        code = h + (lo * 256 + hi).astype(U64)
-        for c in words.view(U64).T:
-            code = mix(code ^ c)
+        code = _codes(mat, h, lo, hi)
         order = np.lexsort((ids[d], code))
         fresh = np.concatenate([[True], code[order][1:] != code[order][:-1]])
         least = ids[d][order][np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
@@ -338,7 +345,8 @@ def least_ids(mat: np.ndarray, lo: np.ndarray, hi: np.ndarray, ids: np.ndarray,
     n, width = mat.shape
     left = width - length
     text = np.ascontiguousarray(mat).ravel()
-    order, _ = suffix_array(text, length)
+    order, _ = suffix_array(text, length, lambda at, h: at % width <= left + length - h)
+    order = order[order % width <= left]  # where a window can begin
     group = np.cumsum(common_prefixes(text, order, length) < length)
     row, off = order // width, order % width
     whole = (off >= left - lo[row]) & (off <= np.minimum(left, left + hi[row] - length))
@@ -383,24 +391,40 @@ def _shard(length: int, parts: int, array: int):
         occ = np.concatenate([x[4][0] + s for x, s in zip(got, start, strict=True)])
         occ_key = np.concatenate([x[5][x[4][1]] for x in got])
         occ_at = np.concatenate([x[4][2] for x in got])
-        order = np.argsort(h, kind="stable")
-        edge = np.append(np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]])), len(h))
-        covered = np.zeros((len(h), left + 1), bool)
+        # equal contexts are one for the array: all but their least id are covered throughout
+        code = _codes(mat, h, lo, hi)
+        order = np.lexsort((ids, code))
+        code = code[order]
+        fresh = np.concatenate([[True], code[1:] != code[:-1]])
+        cls = np.empty(len(h), np.int64)
+        cls[order] = np.cumsum(fresh) - 1
+        rep = order[fresh]
+        least_of = ids[rep]
+        by_anchor = np.argsort(h[rep], kind="stable")
+        edge = np.append(np.flatnonzero(np.concatenate([[True], h[rep][by_anchor][1:] != h[rep][by_anchor][:-1]])), len(rep))
+        several = np.repeat(np.diff(edge) > 1, np.diff(edge))  # an anchor with one context has no other windows to meet
+        by_anchor = by_anchor[several]
+        g = h[rep][by_anchor]
+        edge = np.append(np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])), len(g)) if len(g) else np.zeros(1, np.int64)
+        covered_rep = np.zeros((len(rep), left + 1), bool)
         i = 0
         while i < len(edge) - 1:  # whole anchors, as many as an array takes; one anchor alone may take several
             j = max(i + 1, int(np.searchsorted(edge, edge[i] + array, "right")) - 1)
-            some = order[edge[i] : edge[j]]
+            some = by_anchor[edge[i] : edge[j]]
             pieces = [some[k : k + array] for k in range(0, len(some), array)]
-            found = [least_ids(mat[s], lo[s], hi[s], ids[s], length) for s in pieces]
+            found = [least_ids(mat[rep[s]], lo[rep[s]], hi[rep[s]], least_of[s], length) for s in pieces]
             least = [f[2] for f in found]
             if len(pieces) > 1:
-                least = _merge([(_windows(mat[s], f[0][f[1]], length), f[2]) for s, f in zip(pieces, found, strict=True)])
+                least = _merge([(_windows(mat[rep[s]], f[0][f[1]], length), f[2]) for s, f in zip(pieces, found, strict=True)])
             for s, (at, first, _), best in zip(pieces, found, least, strict=True):
                 low = np.repeat(best, np.diff(np.append(first, len(at))))
                 c, off = at // width, at % width
-                hit = low < ids[s][c]
-                covered[s[c[hit]], off[hit]] = True
+                hit = low < least_of[s][c]
+                covered_rep[s[c[hit]], off[hit]] = True
             i = j
+        offs = np.arange(left + 1)
+        whole = (offs >= left - lo[:, None]) & (offs + length <= left + hi[:, None])
+        covered = np.where((ids > least_of[cls])[:, None], whole, covered_rep[cls])
         edges = np.diff(np.pad(covered, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         c0, a = np.nonzero(edges == 1)
         _, b = np.nonzero(edges == -1)
