@@ -27,6 +27,8 @@ CLASSES = 64
 LENGTHS = 32
 REPEATS = 9
 FEATURES = CLASSES * CLASSES + LENGTHS + REPEATS
+#: Chance repetitions ("the the") in short texts stay below this share.
+REPEAT_SHARE = 0.3
 #: What a text of repeated words counts in its bin: after the logarithm, about as much as all its class pairs.
 REPEAT_COUNT = 160_000
 
@@ -48,7 +50,7 @@ _CLASS = _classes()
 
 
 def features(body: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Counts of class pairs, the length's bin and, where over a twentieth of the words repeat the one before, that share's bin."""
+    """Counts of class pairs, the length's bin and, where more than ``REPEAT_SHARE`` of the words repeat the one before, that share's bin."""
     out = np.zeros((len(at) - 1, FEATURES), np.float32)
     t = Tokens(body, at)
     same = np.concatenate([[0], np.cumsum((t.hash[1:] == t.hash[:-1]) & (t.doc[1:] == t.doc[:-1]))]) if len(t) else np.zeros(1, int)
@@ -59,7 +61,7 @@ def features(body: np.ndarray, at: np.ndarray) -> np.ndarray:
             out[i, : CLASSES * CLASSES] = np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES)
         out[i, CLASSES * CLASSES + min(LENGTHS - 1, int(2 * np.log2(len(c) + 1)))] = 1
         words = t.first[i + 1] - t.first[i]
-        if words > 1 and (share := (same[t.first[i + 1] - 1] - same[t.first[i]]) / (words - 1)) > 0.05:
+        if words >= 6 and (share := (same[t.first[i + 1] - 1] - same[t.first[i]]) / (words - 1)) > REPEAT_SHARE:
             out[i, CLASSES * CLASSES + LENGTHS + int(share * (REPEATS - 1))] = REPEAT_COUNT
     return out
 
