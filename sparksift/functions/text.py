@@ -34,7 +34,7 @@ def _parts(token: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Distinct lower-case tokens in order: each identifier whole (unless among its parts), then its parts."""
-    identifiers = F.filter(F.split(F.coalesce(text, F.lit("")), "[^a-zA-Z0-9_]+"), lambda t: t != "")
+    identifiers = F.array_distinct(F.filter(F.split(F.coalesce(text, F.lit("")), "[^a-zA-Z0-9_]+"), lambda t: t != ""))
 
     def each(t: Column) -> Column:
         parts = _parts(t)
@@ -44,6 +44,15 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(identifiers, each)))
 
 
+def token_set(text: Column) -> Column:
+    """``tokens`` in no particular order, faster: words at once, and parts of only those identifiers that have some."""
+    body = F.coalesce(text, F.lit(""))
+    identifiers = F.array_distinct(F.split(body, "[^a-zA-Z0-9_]+"))
+    whole = F.split(F.translate(F.array_join(identifiers, " "), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), " ")
+    compound = F.filter(identifiers, lambda t: t.rlike("[a-z][A-Z]|[A-Z][A-Z]|[0-9][a-zA-Z]|[a-zA-Z][0-9]|_"))
+    return F.array_remove(F.array_union(whole, F.flatten(F.transform(compound, _parts))), "")
+
+
 def query_tokens(query: str) -> list[str]:
     """As ``tokens``, for a query string on the driver."""
     out: dict[str, None] = {}

@@ -19,11 +19,11 @@ def bm25(docs: DataFrame, query: list[str], *, doc_id: str = "doc_id", text: str
     """(doc_id, kw_score) for every document: 0 without a match. Terms count once in a document, and its length is its distinct tokens.
 
     The average length needs all documents' token counts, so texts are tokenised in a single pass that keeps only
-    (id, length, matching terms); frequencies and scores come from that.
+    (id, length, matching terms), written once; frequencies and scores come from that.
     """
     terms = list(dict.fromkeys(query))
-    slim = docs.select(F.col(doc_id), T.tokens(F.col(text)).alias("t"))
-    slim = slim.select(doc_id, F.size("t").alias("dl"), F.array_intersect("t", F.array(*(F.lit(q) for q in terms)).cast("array<string>")).alias("hits"))
+    slim = docs.select(F.col(doc_id), T.token_set(F.col(text)).alias("t"))
+    slim = checkpointed(slim.select(doc_id, F.size("t").alias("dl"), F.array_intersect("t", F.array(*(F.lit(q) for q in terms)).cast("array<string>")).alias("hits")))
     sums = slim.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.avg("dl")).alias("avgdl"), *(F.count_if(F.array_contains("hits", q)).alias(f"df{i}") for i, q in enumerate(terms)))
     parts = [
         F.when(F.array_contains("hits", q), F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5) + 1) * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).otherwise(F.lit(0.0))
@@ -37,7 +37,7 @@ def bm25(docs: DataFrame, query: list[str], *, doc_id: str = "doc_id", text: str
 
 def document_frequency(docs: DataFrame, *, text: str = "text", terms: list[str] | None = None) -> DataFrame:
     """(term, df, n, idf); of all terms, or of some."""
-    t = T.tokens(F.col(text))
+    t = T.token_set(F.col(text))
     if terms is not None:
         t = F.array_intersect(t, F.array(*(F.lit(q) for q in terms)).cast("array<string>"))
     df = docs.select(F.explode(t).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -70,7 +70,7 @@ def ranked(df: DataFrame, score: str, rank: str, *order: str | Column) -> DataFr
 
     Rows are sorted by range and kept, each partition is counted and the running sum of counts is added to places within.
     """
-    ordered = checkpointed(df.orderBy(F.desc(score), *order)).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    ordered = checkpointed(df.orderBy(F.desc(score), *order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
     counts = ordered.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
     before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))  # a row for each partition
     out = ordered.join(F.broadcast(before.select("__part", "__first", "__before")), "__part")

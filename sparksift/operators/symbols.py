@@ -99,7 +99,7 @@ def scan_cutoff(items: DataFrame, size: str, order: str, most: int = 3_000_000)
 
     Running sums are taken within ranges of the order and then over the ranges, so no task sees all rows.
     """
-    sorted_ = checkpointed(items.orderBy(order)).withColumn("__part", F.spark_partition_id())
+    sorted_ = checkpointed(items.orderBy(order).withColumn("__part", F.spark_partition_id()))
     inner = F.sum(size).over(Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
     parts = sorted_.groupBy("__part").agg(F.sum(size).alias("__s"))
     before = parts.select("__part", F.coalesce(F.sum("__s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))

@@ -66,7 +66,7 @@ _COSINE = f"cos as (select vec_id, list_cosine_similarity(embedding::double[], {
 @query(f"with {_TERMS} select doc_id, cast(count(*) as bigint) as n_terms, sha256(string_agg(term, ' ' order by term)) as digest from terms group by 1")
 def tokenize_terms(spark, sf):
     """Each document's distinct tokens, as a count and a digest."""
-    t = table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("t")).where("size(t) > 0")
+    t = table(spark, sf, "documents").select("doc_id", T.token_set(F.col("text")).alias("t")).where("size(t) > 0")
     return t.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.sha2(F.array_join(F.array_sort("t"), " "), 256).alias("digest"))
 
 
@@ -74,7 +74,7 @@ def tokenize_terms(spark, sf):
 def doc_token_stats(spark, sf):
     """Tokens, bytes, lines and the token estimate."""
     t = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", F.size(T.tokens(t)).cast("long").alias("dl"), T.byte_count(t).alias("bytes"), T.line_count(t).alias("n_lines"), T.token_estimate(t).alias("est_tokens"))
+    return table(spark, sf, "documents").select("doc_id", F.size(T.token_set(t)).cast("long").alias("dl"), T.byte_count(t).alias("bytes"), T.line_count(t).alias("n_lines"), T.token_estimate(t).alias("est_tokens"))
 
 
 @query(f"with {_TERMS} select term, cast(count(*) as bigint) as df, round(ln((n - count(*) + 0.5) / (count(*) + 0.5) + 1), 9) as idf from terms cross join corpus group by term, n")

@@ -6,6 +6,7 @@ import os
 import tempfile
 import zipfile
 from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,8 +40,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder (spark.checkpoint.dir; one of our own only where it is unset), which cuts its lineage."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparksift-"))
-    return df.checkpoint()
+    """``df`` written once to the session's shared folder (spark.checkpoint.dir; one of our own only where it is unset) and read again, which cuts its lineage."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_sparksift_folder", None)
+    if not folder:
+        folder = sc._sparksift_folder = tempfile.mkdtemp(prefix="sparksift-")
+    path = f"{folder}/frame-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
