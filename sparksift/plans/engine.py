@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sparksift.functions import text as T
 from sparksift.operators import chunking, expand, extract, graph, packing, rerank, retrieval, symbols
+from sparksift.session import checkpointed
 from sparksift.sources import files as sources
 
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -80,9 +81,8 @@ def search_files(files: DataFrame, query: str, *, embed: Embedder | None = None,
             vector = embed([asked])
             pieces = chunking.chunks(files, body="body").select("path", "chunk_index", "text")
             vectors = embedded(pieces, embed, key=["path", "chunk_index"]).withColumn("score", retrieval.cosine(F.col("vector"), retrieval.vector(vector[0])))
-            best = retrieval.max_chunk_similarity(vectors.select("path", "chunk_index", "score"), "path", "chunk_index", "score")
+            best = checkpointed(retrieval.max_chunk_similarity(vectors.select("path", "chunk_index", "score"), "path", "chunk_index", "score"))  # the service is asked here, once
             scored = base.join(best, "path", "left").withColumn("sem_score", F.coalesce("sem_score", F.lit(float("-inf"))))
-            scored.where("sem_score is null").limit(1).count()
             status = "ok"
         except Exception:  # the service is outside; a request still gets an answer
             scored, status = base, "failed_fallback_bm25"

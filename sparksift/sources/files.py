@@ -67,13 +67,13 @@ def ignored(files: DataFrame, rules: list[Rule], path: str = "path", output: str
 def scan(spark: SparkSession, root: str, rules: list[Rule] | None = None, max_files: int | None = 10_000) -> DataFrame:
     """(path, body, lang, mtime) of the supported files below a root, by path, without skipped and dot folders and ignored paths."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.lit(root.split("://")[-1].rstrip("/") + "/")
+    base = root.split("://")[-1].rstrip("/") + "/"
     full = F.regexp_replace("path", "^[a-z]+:/{1,3}", "/")
     rows = raw.select(F.substring_index(full, base, -1).alias("path"), "modificationTime", "content")
     folders = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
     rows = rows.withColumn("lang", T.language(F.col("path"))).where("lang is not null").where(~F.exists(folders, lambda d: d.startswith(".") | d.isin(*SKIPPED)))
     rows = ignored(rows, rules or []).where(~F.col("ignored"))
-    out = rows.select("path", F.decode("content", F.lit("UTF-8")).alias("body"), "lang", F.col("modificationTime").alias("mtime"))
+    out = rows.select("path", F.decode("content", "UTF-8").alias("body"), "lang", F.col("modificationTime").alias("mtime"))
     return out.orderBy("path").limit(max_files) if max_files else out
 
 
