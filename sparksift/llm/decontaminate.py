@@ -2,9 +2,10 @@
 
 Texts become words (ASCII letters lower-cased, ASCII punctuation as blanks). Each of ``MASKS`` is laid on every
 position of every benchmark item and of every document; it hashes the words it selects and ignores the rest,
-so a passage with substituted words still collides. Hits on the same diagonal of a document and an item are
-verified: along it, the stretch with the most matches (a substitution costs three) must match at least
-``min_words`` words (all of an item that has fewer) and a share of ``min_share`` of its words.
+so a passage with substituted words still collides. A further mask of ``sure_run`` words in a row (four by default)
+is one that every stretch within the limits must hit. Hits on the same diagonal of a document and an item are
+verified: along it, some stretch must match at least ``min_words`` words (all of an item that has fewer) and a
+share of ``min_share`` of its words; of those the one with the most matches is told.
 
 The benchmark is the broadcast side: it goes out in blocks of at most ``BLOCK_BYTES`` of text, however large it
 is, and every block meets all documents. Null or empty texts and items never match. Rows that repeat an id are
@@ -24,9 +25,16 @@ from .text import PLAIN, Tokens, mix, powers, raw, slices
 
 MASKS = ("111111", "110110011", "101011011", "111001101")
 BLOCK_BYTES = 8 << 20
+HITS = 1 << 19
 _BITS = 22
 
 
+def sure_run(min_words: int, min_share: float) -> int:
+    """The matching words in a row that any stretch of ``min_words`` matches or more and a share of ``min_share`` has at least."""
+    runs = (-(-m // (int(m / min_share + 1e-9) - m + 1)) for m in range(min_words, min_words + 1000))
+    return max(1, min(runs))
+
+
 class Seeds:
     """Hashes of all masked positions of some items."""
 
@@ -64,31 +72,78 @@ def masked(t: Tokens, mask: str) -> tuple[np.ndarray, np.ndarray]:
     return mix(total[at]), at
 
 
+def _runs(n: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of ``n`` whose sums are about ``HITS``."""
+    upto, i = np.cumsum(n), 0
+    while i < len(n):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + HITS, "right")))
+        yield i, j
+        i = j
+
+
+def _distinct(row: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    """The distinct (row, item, diagonal), in order, as three rows."""
+    order = np.lexsort((diagonal, item, row))
+    out = np.stack([row[order], item[order], diagonal[order]]).astype(np.int64)
+    return out[:, np.concatenate([[True], (out[:, 1:] != out[:, :-1]).any(0)])[: out.shape[1]]]
+
+
+def _overlap(t: Tokens, s: Tokens, row, item, diagonal):
+    """Where on the items' words a diagonal of a row and an item begins and ends."""
+    return np.maximum(s.first[item], t.first[row] - diagonal), np.minimum(s.first[np.add(item, 1)], t.first[np.add(row, 1)] - diagonal)
+
+
+def _equal(t: Tokens, s: Tokens, row: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    """The equal words on each diagonal."""
+    lo, hi = _overlap(t, s, row, item, diagonal)
+    out = np.zeros(len(row), np.int64)
+    for i, j in _runs(hi - lo):
+        n = (hi - lo)[i:j]
+        first = np.cumsum(n) - n
+        word = np.arange(n.sum()) + np.repeat(lo[i:j] - first, n)
+        same = s.hash[word] == t.hash[word + np.repeat(diagonal[i:j], n)]
+        out[i:j] = np.add.reduceat(same, first, dtype=np.int64)
+    return out
+
+
+def stretch(same: np.ndarray, min_share: float) -> tuple[int, int, int]:
+    """(begin, end, matched) of the stretch with the most matches among those with a share of ``min_share``; the shortest, then first, of equals."""
+    at = np.flatnonzero(same)
+    if not len(at):
+        return 0, 0, 0
+    # stretches from a match to a match: from the i-th to the j-th there are j - i + 1 matches in at[j] - at[i] + 1 words
+    k = np.arange(len(at))
+    before, after = k - min_share * at, k + 1 - min_share * (at + 1)
+    least = np.minimum.accumulate(before)
+    i = np.searchsorted(-least, -after - 1e-9, "left")  # the first match from which the share is reached
+    matched, words = k - i + 1, at - at[i] + 1
+    j = int(np.lexsort((at, words, -matched))[0])
+    return int(at[i[j]]), int(at[j]) + 1, int(matched[j])
+
+
 def matches(body: np.ndarray, at: np.ndarray, seeds: Seeds, min_words: int, min_share: float) -> list[tuple[int, int, int, int, int, int]]:
     """The best (row, item, matched, words, start byte, end byte) of each row and item."""
     t, s = Tokens(body, at, PLAIN), seeds.t
+    need = np.minimum(min_words, np.diff(s.first))
     seen = []
     for m in seeds.masks:
         h, where = masked(t, m)
         some = np.flatnonzero(seeds.sieve[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
         lo, hi = (np.searchsorted(seeds.hash, h[some], side) for side in ("left", "right"))
-        n = hi - lo
-        if not n.sum():
-            continue
-        word = np.repeat(where[some], n)
-        item_at = seeds.at[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-        seen.append(np.unique(np.stack([t.doc[word], s.doc[item_at], word - item_at], 1), axis=0))
+        hit = np.flatnonzero(hi > lo)
+        where, lo, n = where[some[hit]], lo[hit], (hi - lo)[hit]
+        for i, j in _runs(n):
+            k = n[i:j]
+            word = np.repeat(where[i:j], k)
+            item_at = seeds.at[np.repeat(lo[i:j] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())]
+            found = _distinct(t.doc[word], s.doc[item_at], word - item_at)
+            seen.append(found[:, _equal(t, s, *found) >= need[found[1]]])
     best: dict[tuple[int, int], tuple] = {}
-    for row, item, diagonal in np.unique(np.concatenate(seen), axis=0).tolist() if seen else ():
-        lo = max(int(s.first[item]), int(t.first[row]) - diagonal)
-        hi = min(int(s.first[item + 1]), int(t.first[row + 1]) - diagonal)
-        same = t.hash[lo + diagonal : hi + diagonal] == s.hash[lo:hi]
-        gain = np.concatenate([[0], np.cumsum(np.where(same, 1, -3))])
-        least = np.minimum.accumulate(gain)
-        end = int(np.argmax(gain[1:] - least[:-1])) + 1
-        begin = int(np.flatnonzero(gain[:end] == least[end - 1])[-1])
-        matched, words = int(same[begin:end].sum()), end - begin
-        if matched >= min(min_words, int(s.first[item + 1] - s.first[item])) and matched >= min_share * words:
+    for row, item, diagonal in _distinct(*np.concatenate(seen, axis=1)).T.tolist() if seen else ():
+        lo, hi = _overlap(t, s, row, item, diagonal)
+        begin, end, matched = stretch(t.hash[lo + diagonal : hi + diagonal] == s.hash[lo:hi], min_share)
+        words = end - begin
+        if matched >= need[item]:
             one = (matched, -words, -begin - lo - diagonal)
             if one > best.get((row, item), ((-1,),))[0]:
                 first = lo + diagonal + begin
@@ -96,13 +151,17 @@ def matches(body: np.ndarray, at: np.ndarray, seeds: Seeds, min_words: int, min_
     return [x[1:] for _, x in sorted(best.items())]
 
 
-def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[Seeds]:
+def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES, masks: tuple[str, ...] = MASKS) -> Iterator[Seeds]:
     """The benchmark's items in blocks of about ``block_bytes`` of text, by a hash of their rows."""
     items = benchmark.select(F.col(item_id).alias("i"), F.col(text).cast("string").alias("t")).where("length(t) > 0")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-total // block_bytes)
     for k in range(n):
-        yield Seeds(sorted({(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()}, key=str))
+        yield Seeds(sorted({(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()}, key=str), masks)
+
+
+def _masks(min_words: int, min_share: float) -> tuple[str, ...]:
+    return tuple(dict.fromkeys([*MASKS, "1" * sure_run(min_words, min_share)]))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", min_words: int = 13, min_share: float = 0.8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -112,7 +171,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text:
     schema = f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, n_matched long, n_words long, start_byte long, end_byte long"
     inner = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     out = spark.createDataFrame([], schema)
-    for seeds in blocks(benchmark, item_id, "text", block_bytes):
+    for seeds in blocks(benchmark, item_id, "text", block_bytes, _masks(min_words, min_share)):
         held = spark.sparkContext.broadcast(seeds)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -131,7 +190,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
     """The rows of ``docs`` that match no item, with all their columns; a pass over the rows, without a join."""
     spark = docs.sparkSession
     out = docs
-    for seeds in blocks(benchmark, item_id, "text", block_bytes):
+    for seeds in blocks(benchmark, item_id, "text", block_bytes, _masks(min_words, min_share)):
         held = spark.sparkContext.broadcast(seeds)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:

@@ -282,6 +282,30 @@ def test_decontamination(spark, docs, nothing):
     assert decontaminate.find(nothing, bench).count() == 0 and decontaminate.find(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_by_force():
+    """Whole items with words substituted anywhere: found if 13 words and 80 % are left; the told stretch is the one with the most matches."""
+    assert decontaminate.sure_run(13, 0.8) == 4
+    for _ in range(400):
+        same = RNG.random(RNG.integers(1, 40)) < RNG.choice([0.3, 0.75, 0.9])
+        every = [(int(same[i:j].sum()), i - j, -i) for i in range(len(same)) for j in range(i + 1, len(same) + 1) if same[i] and same[j - 1] and same[i:j].sum() >= 0.8 * (j - i) - 1e-9]
+        m, n, i = max(every, default=(0, 0, 0))
+        assert decontaminate.stretch(same, 0.8) == (-i, -i - n, m)
+    for size, swaps in ((10, 0), (13, 0), (14, 1), (15, 1), (15, 2), (16, 2), (16, 3), (18, 3), (20, 3), (20, 4), (24, 4), (30, 6)):
+        items = [" ".join(f"w{RNG.integers(10**9)}" for _ in range(size)) for _ in range(60)]
+        seeds = decontaminate.Seeds(list(enumerate(items)), decontaminate._masks(13, 0.8))
+        texts, left = [], []
+        for item in items:
+            w, gone = item.split(), RNG.choice(size, swaps, replace=False)
+            for k in gone:
+                w[k] = "other"
+            kept = np.delete(np.arange(size), gone)
+            left.append((size - swaps, int(kept[-1] - kept[0]) + 1))
+            texts.append(f"{prose(20)} {' '.join(w)} {prose(20)}")
+        body, at = decontaminate.raw(decontaminate.pa.array(texts))
+        got = decontaminate.matches(body, at, seeds, 13, 0.8)
+        assert [x[:4] for x in got] == [(i, i, *x) for i, x in enumerate(left)], (size, swaps)
+
+
 # pipeline
 def test_pipeline_stages(spark, tmp_path):
     item, key = prose(40), "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"
