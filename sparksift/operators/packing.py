@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparksift.session import checkpointed
+
 SEPARATOR = (2, 1)
 RESERVE = (96, 3)  # bytes and lines kept free around a partial section
 LEAST_PARTIAL = 32
@@ -15,34 +17,57 @@ WORDS = ("ACORN", "BLAZE", "FJORD", "GLYPH", "HARBOR", "IVORY", "JUNIPER", "SIER
 
 
 def running(items: DataFrame, *order: str) -> DataFrame:
-    """Bytes and lines used up to each item of a request (a candidate set: it comes to one task)."""
-    first = F.row_number().over(Window.orderBy(*order)) == 1
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sized = items.withColumn("__b", F.col("bytes") + F.when(first, 0).otherwise(SEPARATOR[0])).withColumn("__l", F.col("n_lines") + F.when(first, 0).otherwise(SEPARATOR[1]))
-    return sized.withColumn("used_bytes", F.sum("__b").over(w).cast("long")).withColumn("used_lines", F.sum("__l").over(w).cast("long")).drop("__b", "__l")
+    """Bytes and lines used up to each item.
+
+    Running sums are taken within ranges of the order and then over the ranges, so no task sees all rows.
+    """
+    sorted_ = checkpointed(items.orderBy(*order).withColumn("__part", F.spark_partition_id()))
+    within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    lead = sorted_.agg(F.min("__part")).first()[0]
+    first = (F.col("__part") == F.lit(lead).cast("int")) & (F.row_number().over(within) == 1)
+    sized = sorted_.withColumn("__b", F.col("bytes") + F.when(first, 0).otherwise(SEPARATOR[0])).withColumn("__l", F.col("n_lines") + F.when(first, 0).otherwise(SEPARATOR[1]))
+    over = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    parts = sized.groupBy("__part").agg(F.sum("__b").alias("__sb"), F.sum("__l").alias("__sl"))
+    before = parts.select("__part", F.sum("__sb").over(over).alias("__bb"), F.sum("__sl").over(over).alias("__bl"))
+    out = sized.withColumn("__ib", F.sum("__b").over(within)).withColumn("__il", F.sum("__l").over(within)).join(F.broadcast(before), "__part")
+    total = lambda inner, earlier: F.coalesce(F.col(inner) + F.col(earlier), F.col(inner), F.col(earlier)).cast("long")
+    return out.withColumn("used_bytes", total("__ib", "__bb")).withColumn("used_lines", total("__il", "__bl")).drop("__part", "__b", "__l", "__ib", "__il", "__bb", "__bl")
 
 
 def prefix(items: DataFrame, order: str, max_bytes: int, max_lines: int) -> DataFrame:
-    """The items before the first that does not fit."""
-    over = ((F.col("used_bytes") > max_bytes) | (F.col("used_lines") > max_lines)).cast("int")
-    stop = F.max(over).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return running(items, order).withColumn("__stop", stop).where("__stop = 0").drop("__stop")
+    """The items before the first that does not fit (what is used never falls, so all after it are over too)."""
+    over = (F.col("used_bytes") > max_bytes) | (F.col("used_lines") > max_lines)
+    return running(items, order).where(~F.coalesce(over, F.lit(False)))
 
 
 def skip(items: DataFrame, order: list[str], key: str, max_bytes: int, max_lines: int) -> DataFrame:
-    """The items taken in order where what does not fit is passed over: a fold over a request's array, natively."""
-    row = F.struct(*order, F.col(key).alias("__key"), F.col("bytes").alias("__b"), F.col("n_lines").alias("__l"))
-    kind = items.schema[key].dataType.simpleString()
-    ordered = items.agg(F.array_sort(F.collect_list(row)).alias("a"))  # one request's candidates
-    start = F.struct(F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("l"), F.array().cast(f"array<{kind}>").alias("taken"))
-
-    def step(acc, x):
-        sep = F.when(F.size(acc["taken"]) > 0, 1).otherwise(0)
-        b, n = acc["b"] + x["__b"] + sep * SEPARATOR[0], acc["l"] + x["__l"] + sep * SEPARATOR[1]
-        fits = (b <= max_bytes) & (n <= max_lines)
-        return F.when(fits, F.struct(b.alias("b"), n.alias("l"), F.concat(acc["taken"], F.array(x["__key"])).alias("taken"))).otherwise(acc)
-
-    return ordered.select(F.explode(F.aggregate("a", start, step)["taken"]).alias(key))
+    """The items taken in order where what does not fit is passed over.
+
+    Each round folds the next items that fit what room is left by themselves; a separator takes a line, so at most
+    ``max_lines`` + 1 items are ever taken, and each round but the last takes one or more.
+    """
+    spark, kind = items.sparkSession, items.schema[key].dataType.simpleString()
+    place = F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate([*order, key, "bytes", "n_lines"])))
+    rows_ = items.select(place.alias("p"), F.col(key).alias("k"), F.col("bytes").alias("b"), F.col("n_lines").alias("l"))
+    most, used, taken, last = max(4096, max_lines + 2), (0, 0), [], None
+    while True:
+        sep = SEPARATOR if taken else (0, 0)
+        fits = (F.col("b") <= max_bytes - used[0] - sep[0]) & (F.col("l") <= max_lines - used[1] - sep[1])
+        left = rows_.where(fits)
+        if last is not None:
+            left = left.where(F.col("p") > F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(last, rows_.schema["p"].dataType.fields, strict=True))))
+        rows = left.orderBy("p").limit(most).collect()
+        full = len(rows) == most
+        if full and rows[0].p != rows[-1].p:  # equal rows at the end come with the next round
+            rows = [r for r in rows if r.p != rows[-1].p]
+        for r in rows:
+            after = _with(used, (r.b, r.l), bool(taken))
+            if after[0] <= max_bytes and after[1] <= max_lines:
+                used = after
+                taken.append((r.k,))
+        if not full:
+            return spark.createDataFrame(taken, f"`{key}` {kind}")
+        last = rows[-1].p
 
 
 @dataclass

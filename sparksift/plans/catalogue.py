@@ -41,6 +41,25 @@ def query(sql: str | None = None):
     return add
 
 
+class Whole(str):
+    """A data folder whose tables are read without the subset that a query's SQL takes."""
+
+    __slots__ = ()
+
+
+def _rows(spark, sf, name: str, subset: str) -> DataFrame:
+    t = table(spark, sf, name)
+    return t if isinstance(sf, Whole) else t.where(subset)
+
+
+def whole(*names: str, without: str, sql: bool = True) -> None:
+    """``NAME_whole`` for queries whose SQL takes a subset: the same over all rows, by the SQL without its filter (or none, where that is too slow)."""
+    for name in names:
+        QUERIES[f"{name}_whole"] = lambda spark, sf, f=QUERIES[name]: f(spark, Whole(sf))
+        if sql:
+            ORACLE[f"{name}_whole"] = ORACLE[name].replace(without, "")
+
+
 def _list(values: list) -> str:
     return "[" + ", ".join(f"'{v}'" if isinstance(v, str) else repr(v) for v in values) + "]"
 
@@ -594,7 +613,7 @@ _SIZES = "sizes as (select doc_id, octet_length(encode(text)) as bytes, case whe
 
 
 def _sizes(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id < 200")  # a request's candidates
+    d = _rows(spark, sf, "documents", "doc_id < 200")  # a request's candidates
     return d.select("doc_id", T.byte_count(F.col("text")).alias("bytes"), T.line_count(F.col("text")).alias("n_lines"))
 
 
@@ -620,6 +639,10 @@ def pack_skip(spark, sf):
     return packing.skip(_sizes(spark, sf), ["bytes", "doc_id"], "doc_id", 51200, 2000)
 
 
+whole("running_budget", "pack_prefix", without=" where doc_id < 200")
+whole("pack_skip", without="", sql=False)
+
+
 @query("""with b as (select doc_id, trim(regexp_replace(regexp_replace(text, '(?m)^[ \\t]*(import|require|from)\\b[^\\n]*(\\n|$)', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ') as s from documents where length(text) < 20000)
 select doc_id, md5(case when length(s) > 1000 then substr(s, 1, 600) || chr(10) || '...' || chr(10) || right(s, 400) else s end) as digest from b""")
 def compress_snippet(spark, sf):

@@ -28,6 +28,34 @@ def test_never_over_budget(sizes, most_bytes, most_lines):
         assert p.used[0] <= most_bytes and p.used[1] <= most_lines
 
 
+def test_packing_by_force(spark, tmp_path):
+    """Frames of many ranges against a plain loop, and the queries over all rows of a table."""
+    import random
+
+    from sparksift.plans import catalogue
+
+    rng = random.Random(3)
+    for n, most_bytes, most_lines in ((0, 100, 10), (300, 2000, 90), (6000, 40_000, 300), (6000, 10**6, 500)):
+        rows = [(i, rng.choice([0, 3, 20, 400]), rng.randint(0, 40)) for i in range(n)]
+        frame = spark.createDataFrame(rows, "k long, bytes long, n_lines long").repartition(5)
+        used, at = {}, (0, 0)
+        for j, (i, b, m) in enumerate(rows):
+            used[i] = at = at[0] + b + 2 * (j > 0), at[1] + m + (j > 0)
+        assert {r.k: (r.used_bytes, r.used_lines) for r in packing.running(frame, "k").collect()} == used
+        assert {r.k for r in packing.prefix(frame, "k", most_bytes, most_lines).collect()} == {i for i, u in used.items() if u[0] <= most_bytes and u[1] <= most_lines}
+        taken, at = [], (0, 0)
+        for i, b, m in sorted(rows, key=lambda r: (r[1], r[0])):
+            after = at[0] + b + 2 * bool(taken), at[1] + m + bool(taken)
+            if after[0] <= most_bytes and after[1] <= most_lines:
+                taken.append(i)
+                at = after
+        assert {r.k for r in packing.skip(frame, ["bytes", "k"], "k", most_bytes, most_lines).collect()} == set(taken)
+    same = spark.createDataFrame([(7, 0, 0)] * 5000, "k long, bytes long, n_lines long")
+    assert packing.skip(same, ["bytes", "k"], "k", 51200, 2000).count() == 2001
+    spark.range(500).selectExpr("id as doc_id", "repeat('x', cast(id % 7 as int)) as text").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [catalogue.QUERIES[q](spark, str(tmp_path)).count() for q in ("running_budget", "running_budget_whole", "pack_prefix_whole", "pack_skip_whole")] == [200, 500, 500, 500]
+
+
 def test_heredoc():
     out = packing.heredoc([(1, "a.ts", "one\ntwo")])
     assert out == "@a.ts\n<<'ACORN'\n1|one\n2|two\nACORN"
