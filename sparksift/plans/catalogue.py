@@ -546,7 +546,7 @@ def _kg(spark, sf):
     c = table(spark, sf, "customer")
     n = c.agg(F.max("c_custkey")).first()[0] or 1
     nodes = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("label"), F.concat(F.lit("file"), F.col("c_nationkey")).alias("source_file"), (F.col("c_custkey") % 9).alias("community"))
-    links = table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("source"), (F.col("o_orderkey") * 7 % n + 1).alias("target"), F.col("o_orderpriority").alias("relation"), F.round(F.col("o_totalprice") / 1000000, 6).alias("confidence_score"))
+    links = _rows(spark, sf, "orders", "o_orderkey % 3 = 0").select(F.col("o_custkey").alias("source"), (F.col("o_orderkey") * 7 % n + 1).alias("target"), F.col("o_orderpriority").alias("relation"), F.round(F.col("o_totalprice") / 1000000, 6).alias("confidence_score"))
     return nodes, links
 
 
@@ -608,6 +608,9 @@ def kg_related_files(spark, sf):
     return knowledge.related_files(*_kg(spark, sf), "file3")
 
 
+whole("kg_degree", "kg_god_nodes", "kg_file_centrality", "kg_stats", "kg_bfs_depth3", "kg_related_files", without=" where o_orderkey % 3 = 0")
+
+
 # Packing
 _SIZES = "sizes as (select doc_id, octet_length(encode(text)) as bytes, case when text = '' then 0 else len(string_split(text, chr(10))) end as n_lines, row_number() over (order by doc_id) as i from documents where doc_id < 200)"
 

@@ -184,3 +184,25 @@ def test_ignore_rules_fold(spark):
     rules = sources.parse_rules("build/\n/top.ts\nsub/*.js\n")
     paths = spark.createDataFrame([("build/a.ts",), ("x/build/a.ts",), ("build.ts",), ("top.ts",), ("x/top.ts",), ("sub/a.js",), ("x/sub/a.js",)], "path string")
     assert [r.ignored for r in sources.ignored(paths, rules).collect()] == [True, True, False, True, False, True, False]
+
+
+def test_whole_knowledge_graph(spark, tmp_path):
+    """The queries over all links, not those of a third of the orders, by force."""
+    from sparksift.plans import catalogue
+
+    n, orders = 12, [(k, k * 5 % 12 + 1, "1-URGENT", float(k)) for k in range(1, 31)]
+    spark.createDataFrame([(i, f"Customer#{i}", i % 3) for i in range(1, n + 1)], "c_custkey long, c_name string, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    links = {(c, k * 7 % n + 1) for k, c, _, _ in orders}
+    near = {}
+    for a, b in links | {(b, a) for a, b in links}:
+        near.setdefault(a, set()).add(b)
+    run = lambda q: catalogue.QUERIES[q](spark, str(tmp_path)).collect()
+    degree = {a: len(b - {a}) for a, b in near.items() if b - {a}}
+    assert {r.id: r.degree for r in run("kg_degree_whole")} == degree != {r.id: r.degree for r in run("kg_degree")}
+    assert run("kg_stats_whole")[0].links == len(links)
+    assert [(r.id, r.degree) for r in run("kg_god_nodes_whole")] == sorted(degree.items(), key=lambda x: (-x[1], x[0]))[:10]
+    distance = dict.fromkeys((1, 2, 3), 0)
+    for d in (1, 2, 3):
+        distance |= {b: d for a in list(distance) for b in near.get(a, ()) if b not in distance}
+    assert {r.id: r.distance for r in run("kg_bfs_depth3_whole")} == distance
