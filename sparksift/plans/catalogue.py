@@ -319,8 +319,8 @@ _TAGS = "tags as (select l_suppkey as file, p_name as name, case when l_linenumb
 
 
 def _tags(spark, sf):
-    """(file, name, kind, line); parts of size 3 or less, so that the graph is not complete."""
-    part = table(spark, sf, "part").where("p_size <= 3").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name"))
+    """(file, name, kind, line); as the SQL, of parts of size 3 or less, so that the graph is not complete."""
+    part = _rows(spark, sf, "part", "p_size <= 3").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name"))
     line = table(spark, sf, "lineitem").select("l_partkey", F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("line"), F.when(F.col("l_linenumber") == 1, "def").otherwise("ref").alias("kind"))
     return line.join(part, "l_partkey").select("file", "name", "kind", "line")
 
@@ -691,6 +691,9 @@ def candidate_expansion(spark, sf):
     return expand.phased([seeds, linked, logged], 20).select("file", "phase")
 
 
+whole("def_ref_edges", "unreferenced_selfloops", "pagerank_fixed", "personalization", "pagerank_personalized", "tag_rank", "symbol_neighbours", "symbol_files", "symbol_search", "tag_counts", "file_symbols", "candidate_expansion", without=" where p_size <= 3")
+
+
 @query("select a.doc_id from documents a where a.lang = 'en' and a.doc_id not in (select doc_id from labels where quality = 0)")
 def set_difference(spark, sf):
     """An anti join."""

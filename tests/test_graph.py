@@ -206,3 +206,18 @@ def test_whole_knowledge_graph(spark, tmp_path):
     for d in (1, 2, 3):
         distance |= {b: d for a in list(distance) for b in near.get(a, ()) if b not in distance}
     assert {r.id: r.distance for r in run("kg_bfs_depth3_whole")} == distance
+
+
+def test_whole_tags(spark, tmp_path):
+    """The queries over the lines of all parts, by force."""
+    from sparksift.plans import catalogue
+
+    lines = [(o, o * (i + 3) % 11, (o + i) % 5 + 1, i + 1) for o in range(1, 40) for i in range(3)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(p, f"blue {p}", p) for p in range(11)], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    run = lambda q: catalogue.QUERIES[q](spark, str(tmp_path)).collect()
+    counts = {f: (sum(x == f and n == 1 for _, _, x, n in lines), sum(x == f and n > 1 for _, _, x, n in lines)) for f in range(1, 6)}
+    assert {r.file: (r.defs, r.refs) for r in run("tag_counts_whole")} == counts != {r.file: (r.defs, r.refs) for r in run("tag_counts")}
+    defs, refs = ({(p, f) for _, p, f, n in lines if (n == 1) == first} for first in (True, False))
+    loops = {(f, f) for p, f in defs if p not in {q for q, _ in refs}}
+    assert {(r.src, r.dst) for r in run("def_ref_edges_whole")} == {(g, f) for p, f in defs for q, g in refs if p == q and f != g} | loops
