@@ -650,10 +650,13 @@ whole("pack_skip", without="", sql=False)
 select doc_id, md5(case when length(s) > 1000 then substr(s, 1, 600) || chr(10) || '...' || chr(10) || right(s, 400) else s end) as digest from b""")
 def compress_snippet(spark, sf):
     """Texts without imports, shortened."""
-    d = table(spark, sf, "documents").where(F.length("text") < 20000)
+    d = _rows(spark, sf, "documents", "length(text) < 20000")
     return d.select("doc_id", F.md5(T.compressed(F.col("text"))).alias("digest"))
 
 
+whole("compress_snippet", without=" where length(text) < 20000")
+
+
 @query()
 def char_chunks(spark, sf):
     """Overlapping chunks at paragraph, line or word ends (sequential; tests hold it against a plain loop)."""

@@ -56,6 +56,18 @@ def test_packing_by_force(spark, tmp_path):
     assert [catalogue.QUERIES[q](spark, str(tmp_path)).count() for q in ("running_budget", "running_budget_whole", "pack_prefix_whole", "pack_skip_whole")] == [200, 500, 500, 500]
 
 
+def test_whole_texts_are_compressed(spark, tmp_path):
+    import hashlib
+
+    from sparksift.plans import catalogue
+
+    texts = ["short", "x" * 19_999, "y" * 20_000, "import os\n" + "z" * 300_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.digest for r in catalogue.QUERIES["compress_snippet_whole"](spark, str(tmp_path)).collect()}
+    short = lambda t: t if len(t) <= 1000 else f"{t[:600]}\n...\n{t[-400:]}"
+    assert got == {i: hashlib.md5(short(t.removeprefix("import os\n")).encode()).hexdigest() for i, t in enumerate(texts)}
+
+
 def test_heredoc():
     out = packing.heredoc([(1, "a.ts", "one\ntwo")])
     assert out == "@a.ts\n<<'ACORN'\n1|one\n2|two\nACORN"
