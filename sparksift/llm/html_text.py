@@ -2,19 +2,26 @@
 
 The standard library's parser streams events; block elements and line breaks end a line. Text in an element
 that is never content (``SKIP``, or a class, id or role that says so, or hidden) makes no line. A line knows its
-characters, its tags and the containers around it, none within an article or main element. Lines' ratios of
-characters to tags are smoothed with a Gaussian along the page; those above the threshold (a share of the
-smoothed ratios' standard deviation) cluster into content, and the innermost container with ``SHARE`` of the
-content's characters is the article. All its lines are the text, short ones too.
+characters, those of them in links, its tags, its block and the innermost container around it.
+
+Lines' ratios of characters to tags are smoothed with a Gaussian along the page; lines at or above the threshold
+(a share of the smoothed ratios' standard deviation) are content, and runs of them are the page's clusters. The
+article is the innermost container with ``SHARE`` of the clusters' characters. Of its lines those in a cluster are
+text, and outside clusters those that are no menu (two or more lines in a row that are mostly links); where the
+article is the page itself or its body, lines before the first and after the last cluster go too, unless they are
+headings or paragraphs. Without a cluster (a threshold above all ratios) there is no text.
 
 A null or empty page gives an empty text; a page without any container is one container itself. Tags left
-open end with their container; an end tag without a start is ignored. Ties between containers go to the first.
+open end with their container; an end tag without a start is ignored. Ties between containers go to the innermost.
+Time and memory are linear in the page, however deep its elements lie or however many end tags match nothing.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -23,59 +30,84 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SKIP = frozenset("nav header footer aside form script style noscript template iframe svg canvas button select option textarea input label menu dialog head title".split())
-#: Raw or invisible to the parser's end tags; their start tags have no end.
+#: Their start tags have no end.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+BLOCK = HEADINGS | frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form head header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 HOLDERS = frozenset("article main section div td body".split())
 NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 SPACE = re.compile(r"\s+")
-#: A start of one of these ends a paragraph left open.
-CLOSES_P = BLOCK - {"br"}
+SHARE = 0.6
 
 
-SHARE = 0.6
+@dataclass(slots=True)
+class Line:
+    text: str
+    linked: int
+    tags: int
+    block: str
+    holder: int
 
 
 class Lines(HTMLParser):
-    """Lines of a page: (text, tags, containers from the outermost)."""
+    """Lines of a page, and each container's parent and tag (0: the page)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.open: list[tuple[str, bool, tuple[int, ...]]] = [("", False, ())]  # tag, noise, containers
+        self.lines: list[Line] = []
+        self.parent, self.kind = [0], [""]
+        self.open: list[tuple[str, bool, int]] = [("", False, 0)]  # tag, noise, container
+        self.held = Counter()  # open holders, by tag
+        self.scopes = [Counter()]  # open elements since each open holder, by tag
         self.text: list[str] = []
-        self.tags = self.containers = 0
+        self.block, self.tags, self.linked = "", 0, 0
 
     def _end_line(self) -> None:
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append((text, max(1, self.tags), self.open[-1][2]))
+            self.lines.append(Line(text, self.linked, max(1, self.tags), self.block, self.open[-1][2]))
             self.tags = 0
-        self.text = []
+        self.text, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self._end_line()
-            if tag in CLOSES_P and any(t == "p" for t, _, _ in self.open):
-                self._close("p")
+            if tag != "br":
+                self.block = tag
+                if self.scopes[-1]["p"]:
+                    self._close("p")
         self.tags += 1
         if tag in VOID:
             return
-        _, noise, holders = self.open[-1]
-        about = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
-        hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and re.search(r"display\s*:\s*none", v or "", re.I) for k, v in attrs)
-        noise = noise or tag in SKIP or hidden or (tag not in ("body", "html", "article", "main") and bool(NOISE.search(about)))
-        if tag in HOLDERS and not noise and not any(t == "article" for t, _, _ in self.open):
-            self.containers += 1
-            holders = (*holders, self.containers)
-        self.open.append((tag, noise, holders))
+        _, noise, holder = self.open[-1]
+        if not noise:
+            about = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
+            hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and HIDDEN.search(v or "") for k, v in attrs)
+            noise = tag in SKIP or hidden or (tag not in ("body", "html", "article", "main") and bool(NOISE.search(about)))
+        if tag in HOLDERS:
+            if not noise and not self.held["article"]:  # an article is not looked into
+                self.parent.append(holder)
+                self.kind.append(tag)
+                holder = len(self.parent) - 1
+            self.held[tag] += 1
+            self.scopes.append(Counter())
+        else:
+            self.scopes[-1][tag] += 1
+        self.open.append((tag, noise, holder))
 
     def _close(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
-            if self.open[i][0] in HOLDERS and tag not in HOLDERS:
+        """Ends the innermost open ``tag`` with all in it; other elements do not end beyond their container."""
+        if not (self.held if tag in HOLDERS else self.scopes[-1])[tag]:
+            return
+        while True:
+            last = self.open.pop()[0]
+            if last in HOLDERS:
+                self.held[last] -= 1
+                self.scopes.pop()
+            else:
+                self.scopes[-1][last] -= 1
+            if last == tag:
                 return
 
     def handle_endtag(self, tag: str) -> None:
@@ -87,6 +119,8 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.open[-1][1]:
             self.text.append(data)
+            if self.scopes[-1]["a"]:
+                self.linked += len(data)
 
     def close(self) -> None:
         super().close()
@@ -99,21 +133,51 @@ def smoothed(x: np.ndarray, radius: int = 2) -> np.ndarray:
     return np.convolve(np.pad(x, radius, mode="edge"), w / w.sum(), "valid")
 
 
+def clusters(lines: list[Line], threshold: float) -> np.ndarray:
+    """Which lines lie in a cluster: a smoothed ratio of characters to tags of ``threshold`` standard deviations or more."""
+    ratio = smoothed(np.array([len(x.text) / x.tags for x in lines]))
+    return ratio >= threshold * ratio.std()
+
+
+def article(lines: list[Line], parent: list[int], content: np.ndarray) -> tuple[int, int]:
+    """The innermost container with ``SHARE`` of the content's characters, and the last one within it (containers are numbered from the outermost on)."""
+    weight, last = [0] * len(parent), list(range(len(parent)))
+    for x, yes in zip(lines, content.tolist(), strict=True):
+        weight[x.holder] += len(x.text) * yes
+    for h in range(len(parent) - 1, 0, -1):
+        weight[parent[h]] += weight[h]
+        last[parent[h]] = max(last[parent[h]], last[h])
+    best = max(h for h, w in enumerate(weight) if w >= SHARE * weight[0])
+    return best, last[best]
+
+
+def _menus(linked: np.ndarray) -> np.ndarray:
+    """Lines in runs of two or more."""
+    pad = np.pad(linked, 1)
+    return linked & (pad[:-2] | pad[2:])
+
+
 def main_text(html: str | None, threshold: float = 0.5) -> str:
     """The lines of a page's article, joined by a line feed."""
     page = Lines()
     page.feed(html or "")
     page.close()
-    if not page.lines:
+    lines = page.lines
+    if not lines:
+        return ""
+    content = clusters(lines, threshold)
+    if not content.any():
         return ""
-    ratio = smoothed(np.array([len(t) / n for t, n, _ in page.lines]))
-    content = ratio >= threshold * ratio.std()
-    weight: dict[int, int] = {}
-    for (text, _, holders), yes in zip(page.lines, content, strict=True):
-        for h in (0, *holders):
-            weight[h] = weight.get(h, 0) + len(text) * bool(yes)
-    best = max(h for h, w in weight.items() if w >= SHARE * weight[0])
-    return "\n".join(t for t, _, holders in page.lines if not best or best in holders)
+    first, last = article(lines, page.parent, content)
+    mine = np.array([first <= x.holder <= last for x in lines])
+    menu = _menus(~content & [2 * x.linked > len(x.text) for x in lines])
+    keep = mine & ~menu
+    inside = np.flatnonzero(mine & content)
+    if page.kind[first] in ("", "body") and len(inside):  # nothing but the clusters tells where the article begins and ends
+        place = np.arange(len(lines))
+        told = [x.block == "p" or x.block in HEADINGS for x in lines]
+        keep &= ((place >= inside[0]) & (place <= inside[-1])) | told
+    return "\n".join(x.text for x, yes in zip(lines, keep, strict=True) if yes)
 
 
 def extract(pages: DataFrame, *, html: str = "html", keep: list[str] | None = None, output: str = "text", threshold: float = 0.5) -> DataFrame:
