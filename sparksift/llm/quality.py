@@ -1,36 +1,38 @@
 """Quality classifier: nearest-neighbour voting over latent-semantic vectors.
 
-``fit`` turns a bounded sample of labelled texts into counts of pairs of character classes, weights them by
-log frequency and inverse document frequency, and takes the leading singular directions as the latent
+A text's terms are of three groups: its words (hashed to ``WORDS`` bins), its pairs of character classes, and for
+each word how many words ago it last occurred (bins by doubling distance, and one for new words). ``fit`` counts the terms of a bounded sample of labelled texts, weights them by log frequency and inverse
+document frequency, brings each group to the same length, and takes the leading singular directions as the latent
 space. ``score`` broadcasts the labelled vectors (at most ``max_train`` x ``dims`` floats, 1 MB at the
-defaults), takes every document's exact cosine to all of them in blocks, and lets its ``k`` nearest vote with
-weight similarity ** ``sharpness``.
+defaults) with the axes (``FEATURES`` x ``dims`` floats, 3 MB), takes every document's exact cosine to all of them in
+blocks, and lets its ``k`` nearest vote with weight similarity ** ``sharpness``.
 
-Null or empty texts have the features of a text of length 0 and get a score like any other; ties between
-neighbours go to the earlier labelled row; a document table without rows gives no rows; with no labelled
-row at all every score is 0.5. Duplicate rows are scored alike, other columns are never read.
+Null or empty texts have no terms, are equally near to all labelled rows, and get a score like any other; similarities are
+taken to ``DECIMALS`` places, and ties between neighbours go to the earlier labelled row (by the hash of its key); a
+document table without rows gives no rows; with no labelled row at all every score is 0.5. Duplicate rows are
+scored alike, other columns are never read, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Tokens, raw
+from .text import U64, Tokens, free_name, raw
 
 CLASSES = 64
-LENGTHS = 32
-REPEATS = 9
-FEATURES = CLASSES * CLASSES + LENGTHS + REPEATS
-#: Chance repetitions ("the the") in short texts stay below this share.
-REPEAT_SHARE = 0.3
-#: What a text of repeated words counts in its bin: after the logarithm, about as much as all its class pairs.
-REPEAT_COUNT = 160_000
+WORDS = 8192
+DISTANCES = 16
+#: Where each group of terms begins and ends: words, character pairs, distances.
+GROUPS = tuple(np.cumsum([0, WORDS, CLASSES * CLASSES, DISTANCES]).tolist())
+FEATURES = GROUPS[-1]
+DECIMALS = 6
 
 
 def _classes() -> np.ndarray:
@@ -49,20 +51,27 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 
 
+def _distances(t: Tokens) -> np.ndarray:
+    """For each word the bin of the words since it last stood in its row (1, 2, 3-4, 5-8, ...); the last bin for new ones."""
+    order = np.lexsort((t.hash, t.doc))  # stable: places of a word in a row ascend
+    out = np.full(len(t), DISTANCES - 1)
+    again = np.flatnonzero((t.hash[order][1:] == t.hash[order][:-1]) & (t.doc[order][1:] == t.doc[order][:-1])) + 1
+    out[order[again]] = np.minimum(np.ceil(np.log2(order[again] - order[again - 1])), DISTANCES - 2)
+    return out
+
+
 def features(body: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Counts of class pairs, the length's bin and, where more than ``REPEAT_SHARE`` of the words repeat the one before, that share's bin."""
+    """Counts of each row's terms."""
     out = np.zeros((len(at) - 1, FEATURES), np.float32)
     t = Tokens(body, at)
-    same = np.concatenate([[0], np.cumsum((t.hash[1:] == t.hash[:-1]) & (t.doc[1:] == t.doc[:-1]))]) if len(t) else np.zeros(1, int)
-    same = np.append(same, same[-1])
+    word, far = (t.hash >> U64(40)).astype(np.int64) % WORDS, _distances(t)
     for i in range(len(at) - 1):
         c = _CLASS[body[at[i] : at[i + 1]]]
+        mine = slice(t.first[i], t.first[i + 1])
+        out[i, : GROUPS[1]] = np.bincount(word[mine], minlength=WORDS)
         if len(c) > 1:
-            out[i, : CLASSES * CLASSES] = np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES)
-        out[i, CLASSES * CLASSES + min(LENGTHS - 1, int(2 * np.log2(len(c) + 1)))] = 1
-        words = t.first[i + 1] - t.first[i]
-        if words >= 6 and (share := (same[t.first[i + 1] - 1] - same[t.first[i]]) / (words - 1)) > REPEAT_SHARE:
-            out[i, CLASSES * CLASSES + LENGTHS + int(share * (REPEATS - 1))] = REPEAT_COUNT
+            out[i, GROUPS[1] : GROUPS[2]] = np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES)
+        out[i, GROUPS[2] : GROUPS[3]] = np.bincount(far[mine], minlength=DISTANCES)
     return out
 
 
@@ -79,8 +88,11 @@ class Model:
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Log frequencies by inverse document frequencies, each group of terms of length one (or none, without its terms)."""
     x = np.log1p(counts) * idf
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    for lo, hi in pairwise(GROUPS):
+        x[:, lo:hi] /= np.maximum(np.linalg.norm(x[:, lo:hi], axis=1, keepdims=True), 1e-12)
+    return x
 
 
 def fit(labelled: DataFrame, *, text: str = "text", label: str = "label", key: str = "key", max_train: int = 3000, dims: int = 64, seed: int = 7) -> Model:
@@ -114,14 +126,20 @@ def fit(labelled: DataFrame, *, text: str = "text", label: str = "label", key: s
 
 
 def vote(model: Model, vectors: np.ndarray, k: int, sharpness: float) -> np.ndarray:
-    """Share of label 1 among the weights of the k nearest labelled vectors."""
+    """Share of label 1 among the weights of the k nearest labelled vectors; of equally near ones the earlier."""
     if not len(model.labels):
         return np.full(len(vectors), 0.5)
-    sims = vectors @ model.vectors.T
-    k = min(k, sims.shape[1])
-    near = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < sims.shape[1] else np.broadcast_to(np.arange(k), sims.shape)
-    w = np.maximum(np.take_along_axis(sims, near, 1), 1e-6).astype(np.float64) ** sharpness
-    return np.clip((w * model.labels[near]).sum(1) / w.sum(1), 0, 1)
+    sims = np.round(vectors @ model.vectors.T, DECIMALS)
+    if k < sims.shape[1]:
+        last = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
+        nearer, tied = sims > last, sims == last
+        near = nearer | (tied & (np.cumsum(tied, 1) <= k - nearer.sum(1, keepdims=True)))
+    else:
+        near = np.ones(sims.shape, bool)
+    row, col = np.nonzero(near)
+    w = np.maximum(sims[row, col], 1e-6).astype(np.float64) ** sharpness
+    total = lambda x: np.bincount(row, weights=x, minlength=len(vectors))
+    return np.clip(total(w * model.labels[col]) / total(w), 0, 1)
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None, k: int = 15, sharpness: float = 8.0, output: str = "score", block: int = 512) -> DataFrame:
@@ -129,14 +147,15 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str]
     names = [c for c in (docs.columns if keep is None else keep) if c != output]
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), f"`{output}` double"])
-    inner = docs.select(*names, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
+    body = free_name([*names, output], "text")
+    inner = docs.select(*names, F.coalesce(F.col(text).cast("string"), F.lit("")).alias(body))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
             for i in range(0, b.num_rows, block):
                 part = b.slice(i, block)
-                s = vote(m, m.embed(features(*raw(part.column("__text")))), k, sharpness)
+                s = vote(m, m.embed(features(*raw(part.column(body)))), k, sharpness)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(s, pa.float64())], names=[*names, output])
 
     return inner.mapInArrow(run, schema)

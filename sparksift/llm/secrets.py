@@ -20,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import free_name
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Whole runs only, so the least length can stand in the pattern.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -100,9 +102,10 @@ def scan(docs: DataFrame, *, text: str = "text", output: str = "secrets", **opti
 def redacted(docs: DataFrame, *, text: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
     """``docs`` with each run of overlapping secrets in ``text`` replaced by ``mark``; a text without secrets stays as it is, null too."""
     t = f"`{text}`"
-    out = scan(docs, text=text, output="__secrets", **options)
-    piece = f"""aggregate(__secrets, struct(0 as at, '' as done),
+    spans = free_name(docs.columns, "secrets")
+    out = scan(docs, text=text, output=spans, **options)
+    piece = f"""aggregate(`{spans}`, struct(0 as at, '' as done),
         (acc, s) -> struct(greatest(acc.at, s.`end`) as at,
                            concat(acc.done, if(s.start >= acc.at, concat(substring({t}, acc.at + 1, s.start - acc.at), {_lit(mark)}), '')) as done),
         acc -> concat(acc.done, substring({t}, acc.at + 1, length({t}))))"""
-    return out.withColumn(text, F.expr(f"if(size(__secrets) > 0, {piece}, {t})")).drop("__secrets")
+    return out.withColumn(text, F.expr(f"if(size(`{spans}`) > 0, {piece}, {t})")).drop(spans)
