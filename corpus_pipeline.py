@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sparksift.llm import decontaminate, near_dup, packing, quality, secrets
 from sparksift.llm.queries import fit_quality
-from sparksift.llm.text import stored
+from sparksift.llm.text import free_name, stored
 from sparksift.session import ship
 
 THRESHOLD = 0.7
@@ -26,13 +26,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     if not len(model.labels):
         return docs
-    return quality.score(docs, model, output="__score").where(F.col("__score") >= THRESHOLD).select(*docs.columns)
+    score = free_name(docs.columns, "score")
+    return quality.score(docs, model, output=score).where(F.col(score) >= THRESHOLD).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of least doc_id."""
-    gone = near_dup.groups(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = near_dup.groups(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    left = docs.alias("docs").join(gone.alias("out"), F.col("docs.doc_id") == F.col("out.gone"), "left_anti")
+    return left.select(*(F.col(f"docs.`{c}`") for c in docs.columns))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +44,11 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts replaced; n_chars follows the text where it changes."""
-    out = secrets.redacted(docs.withColumn("__before", F.col("text")))
+    before = free_name(docs.columns, "before")
+    out = secrets.redacted(docs.withColumn(before, F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("text") != F.col("__before"), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("text") != F.col(before), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
