@@ -8,7 +8,9 @@ verified: along it, some stretch must match at least ``min_words`` words (all of
 share of ``min_share`` of its words; of those the one with the most matches is told.
 
 The benchmark is the broadcast side: it goes out in blocks of at most ``BLOCK_BYTES`` of text, however large it
-is, and every block meets all documents. Null or empty texts and items never match. Rows that repeat an id are
+is, and every block meets all documents. Where there are several, each one's result is written to the shared folder
+and its broadcast released before the next goes out. A seed that a text repeats at equal distances (a word said
+thousands of times) is handled as one series, so its diagonals are counted once and not for each pair of places. Null or empty texts and items never match. Rows that repeat an id are
 judged one by one. Without documents, or without items, there are no matches.
 """
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import PLAIN, Tokens, mix, powers, raw, slices
+from .text import PLAIN, Tokens, mix, powers, raw, slices, stored
 
 MASKS = ("111111", "110110011", "101011011", "111001101")
 BLOCK_BYTES = 8 << 20
@@ -54,7 +56,8 @@ class Seeds:
             at.append(where)
         h, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (h, at))
         order = np.argsort(h, kind="stable")
-        self.hash, self.at = h[order].astype(np.uint64), at[order]
+        self.hash = h[order].astype(np.uint64)
+        self.series = series(self.hash, self.t.doc[at[order]], at[order])
         self.sieve = np.zeros(1 << _BITS, bool)
         self.sieve[(self.hash >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
@@ -72,6 +75,35 @@ def masked(t: Tokens, mask: str) -> tuple[np.ndarray, np.ndarray]:
     return mix(total[at]), at
 
 
+def series(h: np.ndarray, group: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Places of equal hashes in a group (a row or item) as series of equal steps, by hash: hash, group, first, step (1, if alone), count."""
+    order = np.lexsort((at, group, h))
+    h, group, at = h[order], group[order], at[order]
+    same = (h[1:] == h[:-1]) & (group[1:] == group[:-1])
+    step = np.where(same, at[1:] - at[:-1], 0)
+    goes_on = same.copy()
+    goes_on[1:] &= ~same[:-1] | (step[1:] == step[:-1])
+    first = np.flatnonzero(np.concatenate([[True], ~goes_on]))[: len(h)]
+    count = np.diff(np.append(first, len(h)))
+    return h[first], group[first], at[first], np.where(count > 1, np.append(step, 0)[first], 1) if len(h) else first, count
+
+
+def _diagonals(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """The differences of places of pairs of series, as series: pair, first, step, count."""
+    (a, g, n), (b, k, m) = x, y
+    alike = (n == 1) | (m == 1) | (g == k)
+    i = np.flatnonzero(alike)
+    one = i, a[i] - b[i] - (m[i] - 1) * k[i], np.where(m[i] > 1, k[i], g[i]), n[i] + m[i] - 1
+    j = np.flatnonzero(~alike)  # each place of the shorter with the whole other
+    less = n[j] < m[j]
+    short = np.where(less, n[j], m[j])
+    j, less = np.repeat(j, short), np.repeat(less, short)
+    r = np.arange(len(j)) - np.repeat(np.cumsum(short) - short, short)
+    first = np.where(less, a[j] + r * g[j] - b[j] - (m[j] - 1) * k[j], a[j] - b[j] - r * k[j])
+    other = j, first, np.where(less, k[j], g[j]), np.where(less, m[j], n[j])
+    return tuple(np.concatenate(z) for z in zip(one, other, strict=True))
+
+
 def _runs(n: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of ``n`` whose sums are about ``HITS``."""
     upto, i = np.cumsum(n), 0
@@ -126,38 +158,52 @@ def matches(body: np.ndarray, at: np.ndarray, seeds: Seeds, min_words: int, min_
     t, s = Tokens(body, at, PLAIN), seeds.t
     need = np.minimum(min_words, np.diff(s.first))
     seen = []
+    known, items, firsts, steps, counts = seeds.series
     for m in seeds.masks:
         h, where = masked(t, m)
         some = np.flatnonzero(seeds.sieve[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
-        lo, hi = (np.searchsorted(seeds.hash, h[some], side) for side in ("left", "right"))
-        hit = np.flatnonzero(hi > lo)
-        where, lo, n = where[some[hit]], lo[hit], (hi - lo)[hit]
-        for i, j in _runs(n):
-            k = n[i:j]
-            word = np.repeat(where[i:j], k)
-            item_at = seeds.at[np.repeat(lo[i:j] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())]
-            found = _distinct(t.doc[word], s.doc[item_at], word - item_at)
-            seen.append(found[:, _equal(t, s, *found) >= need[found[1]]])
+        at_seed = np.minimum(np.searchsorted(seeds.hash, h[some]), max(len(seeds.hash) - 1, 0))
+        some = some[seeds.hash[at_seed] == h[some]] if len(seeds.hash) else some[:0]
+        h, row, first, step, count = series(h[some], t.doc[where[some]], where[some])
+        lo, hi = (np.searchsorted(known, h, side) for side in ("left", "right"))
+        for i, j in _runs(hi - lo):
+            n = (hi - lo)[i:j]
+            x = np.repeat(np.arange(i, j), n)
+            y = np.repeat(lo[i:j] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            pair, begin, by, many = _diagonals((first[x], step[x], count[x]), (firsts[y], steps[y], counts[y]))
+            for u, v in _runs(many):
+                k = many[u:v]
+                which = np.repeat(np.arange(u, v), k)
+                diagonal = begin[which] + by[which] * (np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k))
+                found = _distinct(row[x[pair[which]]], items[y[pair[which]]], diagonal)
+                equal = _equal(t, s, *found)
+                good = equal >= need[found[1]]
+                seen.append(np.vstack([found, equal])[:, good])
+    if not seen:
+        return []
+    row, item, diagonal, equal = np.concatenate(seen, axis=1)
+    lo, hi = _overlap(t, s, row, item, diagonal)
+    order = np.lexsort((lo + diagonal, -equal, item, row))  # the most that can match first, of those the earliest
     best: dict[tuple[int, int], tuple] = {}
-    for row, item, diagonal in _distinct(*np.concatenate(seen, axis=1)).T.tolist() if seen else ():
-        lo, hi = _overlap(t, s, row, item, diagonal)
-        begin, end, matched = stretch(t.hash[lo + diagonal : hi + diagonal] == s.hash[lo:hi], min_share)
-        words = end - begin
-        if matched >= need[item]:
-            one = (matched, -words, -begin - lo - diagonal)
-            if one > best.get((row, item), ((-1,),))[0]:
-                first = lo + diagonal + begin
-                best[row, item] = (one, row, item, matched, words, int(t.start[first] - at[row]), int(t.end[first + words - 1] - at[row]))
+    for k in order.tolist():
+        pair = int(row[k]), int(item[k])
+        most, words, start = best.get(pair, ((-1, 0, 0),))[0]
+        if equal[k] < most or (equal[k] == most == -words and lo[k] + diagonal[k] >= -start):
+            continue
+        begin, end, matched = stretch(t.hash[lo[k] + diagonal[k] : hi[k] + diagonal[k]] == s.hash[lo[k] : hi[k]], min_share)
+        first, n = int(lo[k] + diagonal[k]) + begin, end - begin
+        if matched >= need[item[k]] and (matched, -n, -first) > (most, words, start):
+            best[pair] = (matched, -n, -first), *pair, matched, n, int(t.start[first] - at[row[k]]), int(t.end[first + n - 1] - at[row[k]])
     return [x[1:] for _, x in sorted(best.items())]
 
 
-def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES, masks: tuple[str, ...] = MASKS) -> Iterator[Seeds]:
-    """The benchmark's items in blocks of about ``block_bytes`` of text, by a hash of their rows."""
+def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES, masks: tuple[str, ...] = MASKS) -> Iterator[tuple[Seeds, bool]]:
+    """The benchmark's items in blocks of about ``block_bytes`` of text, by a hash of their rows; and whether a block is the only one."""
     items = benchmark.select(F.col(item_id).alias("i"), F.col(text).cast("string").alias("t")).where("length(t) > 0")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-total // block_bytes)
     for k in range(n):
-        yield Seeds(sorted({(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()}, key=str), masks)
+        yield Seeds(sorted({(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()}, key=str), masks), n == 1
 
 
 def _masks(min_words: int, min_share: float) -> tuple[str, ...]:
@@ -171,7 +217,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text:
     schema = f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, n_matched long, n_words long, start_byte long, end_byte long"
     inner = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     out = spark.createDataFrame([], schema)
-    for seeds in blocks(benchmark, item_id, "text", block_bytes, _masks(min_words, min_share)):
+    for seeds, alone in blocks(benchmark, item_id, "text", block_bytes, _masks(min_words, min_share)):
         held = spark.sparkContext.broadcast(seeds)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -182,15 +228,23 @@ def find(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text:
                         ids = pa.array([held.value.ids[i] for i in item])
                         yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row)), ids, *(pa.array(x, pa.int64()) for x in rest)], names=["doc_id", "item_id", "n_matched", "n_words", "start_byte", "end_byte"])
 
-        out = out.union(inner.mapInArrow(run, schema))
+        here = inner.mapInArrow(run, schema)
+        out = here if alone else out.union(_released(here, held, "matches"))
+    return out
+
+
+def _released(df: DataFrame, held, name: str) -> DataFrame:
+    """``df`` written, and what it was made with given back."""
+    out = stored(df, name)
+    held.destroy()
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", min_words: int = 13, min_share: float = 0.8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that match no item, with all their columns; a pass over the rows, without a join."""
+    """The rows of ``docs`` that match no item, with all their columns; a pass over the rows for each block, without a join."""
     spark = docs.sparkSession
     out = docs
-    for seeds in blocks(benchmark, item_id, "text", block_bytes, _masks(min_words, min_share)):
+    for seeds, alone in blocks(benchmark, item_id, "text", block_bytes, _masks(min_words, min_share)):
         held = spark.sparkContext.broadcast(seeds)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -201,4 +255,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
                     yield part.filter(pa.array(~hit))
 
         out = out.mapInArrow(run, docs.schema)
+        out = out if alone else _released(out, held, "clean")
     return out
