@@ -15,7 +15,13 @@ and linked with nothing). Documents link where the Jaccard similarity of their w
 
 Members are first compared with their bucket's least; what this joins needs no other pair. Buckets that still
 hold several groups are compared throughout, in pairs of blocks of ``block`` members, and only pairs across
-groups go on: no bucket is cut, none is gathered in one task, and no link between groups is lost.
+groups go on: no bucket is cut, none is gathered in one task. Of such a bucket with more than ``block`` members first
+those meet that share one of 128 bands of 8 of the signature's minima: a pair at similarity 0.8 shares none with
+probability (1 - 0.8**8)**128 < 1e-10, and members that merely share a passage are spared a comparison with all others.
+
+Hot keys: joins on a bucket, and on the least of a bucket, are dealt by the other side's id into as many shares as
+the bucket has blocks. Texts with more than ``HEAVY`` copies (so there are at most rows / ``HEAVY``) get their group from
+a broadcast, empty ones without a join.
 
 Null texts count as empty. A null id is linked with nothing and keeps its row; rows that repeat an id get its
 group, or the least of theirs. An empty table gives no rows. Other columns are not read.
@@ -28,7 +34,7 @@ from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import U64, Tokens, mix, powers, slices, stored
@@ -36,8 +42,10 @@ from .text import U64, Tokens, mix, powers, slices, stored
 SIGNATURE = 1024
 #: Compared minima after which a pair may go.
 BATCHES = (16, 32, 64, 96, 128, 192, 256, 384, 512, 768, 1024)
-#: Ids of candidates up to which they are broadcast to fetch their texts (8 bytes each); beyond, texts and ids are shuffled.
-BROADCAST_IDS = 2_000_000
+#: Bytes of candidates' ids up to which they are broadcast to fetch their texts; beyond, texts and ids are shuffled.
+BROADCAST_BYTES = 16 << 20
+HEAVY = 100_000
+SUB = 8
 
 
 def minimum_matches(threshold: float, miss: float) -> list[tuple[int, int]]:
@@ -137,7 +145,7 @@ def candidate_sets(docs: DataFrame, ids: DataFrame, words: int, seed: int = 2) -
                     sigs.append((least ^ (least >> np.uint32(16))).astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(sigs, pa.binary())], names=["id", "s", "sig"])
 
-    few = ids.count() <= BROADCAST_IDS
+    few = (ids.agg(F.sum(F.octet_length(F.col("id").cast("string")) + 8)).first()[0] or 0) <= BROADCAST_BYTES
     texts = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
     return texts.mapInArrow(run, f"id {ids.schema['id'].dataType.simpleString()}, s binary, sig binary").dropDuplicates(["id"])
 
@@ -146,8 +154,8 @@ def _signed(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(rows, -1)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, steps: list[tuple[int, int]], percent: int) -> DataFrame:
-    """The pairs (a, b) of ids that survive by signature and whose whole sets reach the threshold."""
+def _verified(pairs: DataFrame, sets: DataFrame, steps: list[tuple[int, int]], percent: int, block: int) -> DataFrame:
+    """The pairs (a, b) of ids that survive by signature and whose whole sets reach the threshold; a pair's ``a`` is met in as many shares as ``n`` has blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,14 +170,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, steps: list[tuple[int, int]], p
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     left, right = (sets.select(F.col("id").alias(i), F.col("s").alias(s), F.col("sig").alias(sig)) for i, s, sig in (("a", "x", "u"), ("b", "y", "v")))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "u", "v", "x", "y").mapInArrow(run, pairs.select("a", "b").schema)
+    dealt = pairs.withColumn("share", _share("b", block, "n"))
+    copies = dealt.select("a", "n", "share").distinct().join(left, "a")
+    return dealt.join(copies, ["a", "n", "share"]).join(right, "b").select("a", "b", "u", "v", "x", "y").mapInArrow(run, pairs.select("a", "b").schema)
+
+
+def _blocks(n: str, block: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.col(n) / block)).cast("int")
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
+def _share(of: str, block: int, n: str) -> Column:
+    """The share of an id, of as many as ``n`` has blocks."""
+    return F.pmod(F.xxhash64(of), _blocks(n, block)).cast("int")
+
+
+def components(links: DataFrame) -> DataFrame:
     """(id, comp) for the ids of undirected links (a, b): the least id reachable. Labels take the least of their neighbours' and then their label's label, until none changes."""
     edges = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
     label = stored(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("comp")), "label")
-    for _ in range(most):
+    while True:  # labels only fall, so this ends
         near = edges.join(label.select(F.col("id").alias("b"), F.col("comp").alias("c")), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
         step = label.join(near, "id").select("id", "comp", F.least("comp", "c").alias("to"))
         jump = step.join(label.select(F.col("id").alias("to"), F.col("comp").alias("c")), "to", "left").select("id", "comp", F.least("to", F.coalesce("c", "to")).alias("to"))
@@ -177,41 +196,70 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         if new.where("comp <> to").isEmpty():
             return new.select("id", F.col("to").alias("comp"))
         label = new.select("id", F.col("to").alias("comp"))
-    raise RuntimeError("components did not settle")
 
 
-def _across(members: DataFrame, sets: DataFrame, steps: list[tuple[int, int]], block: int) -> DataFrame:
-    """Of buckets (bucket, id, comp, n): the surviving pairs of different groups, by pairs of blocks of members; a pair comes from the least bucket that it shares."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
-    lists = members.groupBy("id").agg(F.array_sort(F.collect_list("bucket")).alias("all"))  # one for each band at most
-    m = members.join(lists, "id").join(sets.select("id", "sig"), "id").withColumn("k", blocks).withColumn("i", F.expr("cast(pmod(xxhash64(id), k) as int)"))
+def _spread(rows: DataFrame, size: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined with ``size`` (with each key's ``n``) on ``keys``; keys of more than ``HEAVY`` rows are broadcast."""
+    heavy = F.broadcast(size.where(F.col("n") > HEAVY))
+    light = rows.join(F.broadcast(size.where(F.col("n") > HEAVY).select(*keys)), keys, "left_anti")
+    return rows.join(heavy, keys).unionByName(light.join(size.where(F.col("n") <= HEAVY), keys))
+
+
+def _mixed(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """The rows (id, comp, n) of keys that hold several groups; a key is met in as many shares as ``n`` has blocks."""
+    several = rows.groupBy(*keys).agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("n").alias("most")).where("c0 <> c1")
+    shares = several.select(*keys, F.explode(F.sequence(F.lit(0), _blocks("most", block) - 1)).alias("share"))
+    return rows.withColumn("share", _share("id", block, "n")).join(shares, [*keys, "share"], "left_semi").drop("share")
+
+
+def _refined(members: DataFrame, block: int) -> DataFrame:
+    """Members with ``band`` and ``part`` (-1 and 0): buckets of more than ``block`` members parted by the bands of their signatures, parts of one group left out."""
+    large, small = members.where(F.col("n") > block), members.where(F.col("n") <= block)
+    part = F.expr(f"transform(sequence(0, {SIGNATURE // SUB - 1}), j -> xxhash64(substring(sig, {SUB} * j + 1, {SUB})))")
+    parted = stored(large.select("bucket", "n", "id", "comp", F.posexplode(part).alias("band", "part")), "bands")
+    several = stored(_mixed(parted, ["bucket", "band", "part"], block), "bands")
+    size = several.groupBy("bucket", "band", "part").agg(F.count("*").alias("n"))
+    sized = _spread(several.drop("n"), size, ["bucket", "band", "part"])
+    own = large.select("id", "sig", "all").dropDuplicates(["id"])
+    names = ["bucket", "band", "part", "n", "id", "comp", "sig", "all"]
+    return small.withColumns({"band": F.lit(-1), "part": F.lit(0).cast("long")}).select(*names).union(sized.join(own, "id").select(*names))
+
+
+def _across(rest: DataFrame, sets: DataFrame, steps: list[tuple[int, int]], block: int) -> DataFrame:
+    """Of buckets (bucket, id, comp, n): the surviving pairs (a, b, n) of different groups, by pairs of blocks of members; a pair comes from the least bucket, and the first band, that it shares."""
+    lists = rest.groupBy("id").agg(F.array_sort(F.collect_list("bucket")).alias("all"))  # one for each band at most
+    members = stored(rest.join(lists, "id").join(sets.select("id", "sig"), "id"), "members")
+    m = _refined(members, block).withColumn("k", _blocks("n", block)).withColumn("i", _share("id", block, "n"))
     m = m.withColumn("j", F.explode(F.expr("sequence(0, k - 1)")))
-    dealt = m.select("bucket", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "id", "comp", "sig", "all")
-    kind = members.schema["id"].dataType.simpleString()
+    dealt = m.select("bucket", "band", "part", "n", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "id", "comp", "sig", "all")
+    kind = rest.schema["id"].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
+        one = lambda c: table.column(c)[0].as_py()
         sig = _signed(table.column("sig"), table.num_rows)
-        comp, side = table.column("comp").to_numpy(), table.column("i").to_numpy()
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        left = np.flatnonzero(side == lo)
-        right = np.flatnonzero(side == hi)
-        every, here = [set(x) for x in table.column("all").to_pylist()], table.column("bucket")[0].as_py()
+        _, comp = np.unique(table.column("comp").to_numpy(zero_copy_only=False), return_inverse=True)
+        side, bucket, band = table.column("i").to_numpy(), one("bucket"), one("band")
+        left, right = np.flatnonzero(side == one("lo")), np.flatnonzero(side == one("hi"))
+        every = [set(x) for x in table.column("all").to_pylist()]
+        bands = np.ascontiguousarray(sig).view(U64)
         out_a, out_b = [], []
         for p in left:
-            q = right[right > p] if lo == hi else right
+            q = right[right > p] if one("lo") == one("hi") else right
             q = q[comp[q] != comp[p]]
+            if band >= 0 and len(q):
+                q = q[np.argmax(bands[q] == bands[p], axis=1) == band]
             if len(q):
                 q = q[_posterior(np.broadcast_to(sig[p], (len(q), sig.shape[1])), sig[q], steps)]
-                q = np.array([x for x in q.tolist() if min(every[p] & every[x]) == here], np.int64)
+                q = np.array([x for x in q.tolist() if min(every[p] & every[x]) == bucket], np.int64)
                 out_a.append(np.full(len(q), p))
                 out_b.append(q)
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
         ids = table.column("id")
-        return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b))})
+        return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b)), "n": pa.array(np.full(len(a), one("n")), pa.int64())})
 
-    found = dealt.groupBy("bucket", "lo", "hi").applyInArrow(run, f"a {kind}, b {kind}")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = dealt.groupBy("bucket", "band", "part", "lo", "hi").applyInArrow(run, f"a {kind}, b {kind}, n long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n").groupBy("a", "b").agg(F.max("n").alias("n"))
 
 
 def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, miss: float = 1e-6, block: int = 512) -> DataFrame:
@@ -220,27 +268,27 @@ def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words
     whole = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     every = stored(signatures(docs, doc_id=doc_id, text=text, words=words, bands=bands, rows=rows), "signatures")
     full = every.where("n > 0 and id is not null")
-    reps = stored(full.groupBy("a", "b").agg(F.min("id").alias("rep")), "reps")
+    reps = stored(full.groupBy("a", "b").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "reps")
     keyed = every.join(reps, [every.a == reps.a, every.b == reps.b, every.id == reps.rep], "left_semi").select("id", "keys").dropDuplicates(["id"])
-    bands_of = stored(keyed, "keys").select("id", F.explode("keys").alias("key"))
-    shared = bands_of.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead"), F.max("id").alias("last"), F.expr("sum(cast(xxhash64(id) as decimal(20,0)))").alias("s"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("x")).where("n > 1")
-    once = stored(shared.groupBy("n", "lead", "last", "s", "x").agg(F.min("key").alias("bucket")).select("bucket", "n", "lead"), "buckets")
-    members = stored(bands_of.join(once, bands_of.key == once.bucket).select("bucket", "n", "lead", "id"), "members")
+    bands_of = stored(keyed, "keys").select("id", F.explode("keys").alias("bucket"))
+    shared = bands_of.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("lead"), F.max("id").alias("last"), F.expr("sum(cast(xxhash64(id) as decimal(20,0)))").alias("s"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("x")).where("n > 1")
+    once = stored(shared.groupBy("n", "lead", "last", "s", "x").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "lead"), "buckets")
+    members = stored(_spread(bands_of, once, ["bucket"]).select("bucket", "n", "lead", "id"), "members")
     sets = stored(candidate_sets(whole, members.select("id").distinct(), words), "sets")
 
-    star = stored(members.where("lead <> id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "star")
-    links = stored(_verified(star, sets, steps, percent), "links")
+    star = stored(members.where("lead <> id").groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).agg(F.max("n").alias("n")), "star")
+    links = stored(_verified(star, sets, steps, percent, block), "links")
     comp = components(links)
-    label = lambda m: m.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = label(members)
-    several = mixed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket")
-    rest = stored(mixed.join(several, "bucket", "left_semi").select("bucket", "n", "id", "comp"), "rest")
+    rest = members.select("bucket", "n", "id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    rest = stored(_mixed(rest, ["bucket"], block), "rest")
     if not rest.isEmpty():
-        more = _across(rest, sets, steps, block).join(star, ["a", "b"], "left_anti")
-        more = stored(_verified(stored(more, "across"), sets, steps, percent), "links")
+        more = _across(rest, sets, steps, block).join(star.select("a", "b"), ["a", "b"], "left_anti")
+        more = stored(_verified(stored(more, "across"), sets, steps, percent, block), "links")
         if not more.isEmpty():
             comp = components(links.union(more))
-    named = reps.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("a", "b", F.coalesce("comp", "rep").alias("component"))
-    out = every.select("id", "n", "a", "b").join(named, ["a", "b"], "left")
-    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    named = reps.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("a", "b", "n", F.coalesce("comp", "rep").alias("component"))
+    some = every.select("id", F.col("n").alias("size"), "a", "b")
+    alone = (F.col("size") > 0) & F.col("id").isNotNull()
+    out = _spread(some.where(alone), stored(named, "named"), ["a", "b"]).select("id", "size", "component")
+    out = out.unionByName(some.where(~alone).select("id", "size", F.col("id").alias("component")))
+    return out.select(F.col("id").alias(doc_id), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
