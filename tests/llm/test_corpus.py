@@ -189,24 +189,6 @@ def test_pitman_yor_base(docs):
     assert {r.train_tokens for r in got} == {n} and all(r.score < 0 and r.held_out == (not train(r.doc_id)) for r in got)
 
 
-def test_seating_follows_the_posterior():
-    def mean(c, a, d):
-        w = {1: 1.0}
-        for n in range(1, c):
-            new = Counter()
-            for t, x in w.items():
-                new[t + 1] += x * a
-                new[t] += x * (n - d * t)
-            w = new
-        return sum(t * x for t, x in w.items()) / sum(w.values())
-
-    rng = np.random.default_rng(1)
-    for c, a, d in ((5, 0.5, 0.5), (10, 2.0, 0.8), (4, 0.01, 0.9)):
-        n, pull = np.full(20_000, c), np.full(20_000, a)
-        t = pitman_yor.sweep(n, pitman_yor.enter(n, pull, d, rng), pull, d, rng, 40)
-        assert t.mean() == pytest.approx(mean(c, a, d), rel=0.08) and t.min() >= 1 and t.max() <= c
-
-
 # 6
 def test_licenses(spark):
     body = dict(licenses.TEMPLATES)["Apache-2.0-text"]
