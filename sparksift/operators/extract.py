@@ -13,26 +13,48 @@ from pyspark.sql import functions as F
 from sparksift.functions import text as T
 from sparksift.operators.chunking import spans
 
-# Import forms by language; the first group is what is imported.
-IMPORTS = {
-    "script": (r"""import\s+(?:[\w*{}\s,$]+\s+from\s+)?['"]([^'"]+)['"]""", r"""export\s+[\w*{}\s,$]+\s+from\s+['"]([^'"]+)['"]""", r"""require\(\s*['"]([^'"]+)['"]\s*\)""", r"""///\s*<reference\s+path\s*=\s*['"]([^'"]+)['"]"""),
-    "go": (r"""(?m)^(?:import\s+|\s+)(?:[\w.]+\s+)?"([^"\n]+)"\s*$""",),
-    "rust": (r"(?m)^use\s+([A-Za-z_][\w:*]*);", r"(?m)^extern\s+crate\s+([A-Za-z_]\w*);", r"(?m)^mod\s+([A-Za-z_]\w*);"),
-    "python": (r"(?m)^from\s+([A-Za-z_][\w.]*)\s+import", r"(?m)^import\s+([A-Za-z_][\w.]*)"),
-}
 SUFFIXES = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".go", ".rs")
 _CALL = re.compile(r"(?<![\w$])(?:new\s+)?([A-Za-z_$][\w$]*)\s*\(")
 _NOT_CALLS = frozenset("if for while switch return function catch new typeof await def class fn match elif and or not in".split())
 _DEF = {"go": re.compile(r"(?m)^func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)"), "rust": re.compile(r"(?m)^\s*(?:pub\s+)?(?:async\s+)?(?:fn|struct|enum|trait|type|mod)\s+([A-Za-z_]\w*)")}
 
 
+def _all(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), 1)
+
+
+def _script_imports(body: Column) -> Column:
+    """The module specifier is the string after ``from`` or ``import``, in a call of ``require`` or ``import``, or of a path reference."""
+    return _all(body, r"""(?:\bfrom\s*|\bimport\s*|(?<![.\w])(?:require|import)\s*\(\s*|///\s*<reference\s+path\s*=\s*)['"]([^'"\n]+)['"]""")
+
+
+def _go_imports(body: Column) -> Column:
+    """Every string of an import declaration, which is one line or a list in parentheses."""
+    declared = _all(body, r"(?m)^import\b\s*(\([^)]*\)|[^\n(]*)")
+    return F.flatten(F.transform(declared, lambda d: _all(d, r'"([^"\n]+)"')))
+
+
+def _rust_imports(body: Column) -> Column:
+    """Paths of ``use``, ``extern crate`` and ``mod`` items, without what names the crate itself or all of a module, or the language's own crates."""
+    paths = F.transform(_all(body, r"(?m)^(?:use|extern\s+crate|mod)\s+(\w[\w:*]*);"), lambda p: F.split(p, "::"))
+    own = F.array(*(F.lit(w) for w in ("crate", "self", "super")))
+    paths = F.transform(paths, lambda p: F.when(F.array_contains(own, F.get(p, F.lit(0))) & (F.size(p) > 1), F.slice(p, F.lit(2), F.size(p))).otherwise(p))
+    paths = F.filter(paths, lambda p: ~F.get(p, F.lit(0)).isin("std", "core", "alloc"))
+    return F.filter(F.transform(paths, lambda p: F.array_join(F.filter(p, lambda x: x != "*"), "/")), lambda p: p != "tests")
+
+
+def _python_imports(body: Column) -> Column:
+    """Modules of ``from x import`` and the packages of ``import x, y``, as paths; relative ones have no name of their own."""
+    whole = _all(body, r"(?m)^from\s+([A-Za-z_][\w.]*)\s+import\b")
+    listed = F.flatten(F.transform(_all(body, r"(?m)^import\s+([^\n#;]+)"), lambda names: F.split(names, ",")))
+    packages = F.transform(listed, lambda n: F.regexp_extract(n, r"^\s*([A-Za-z]\w*|_(?!_)\w*)", 1))
+    return F.filter(F.concat(F.transform(whole, lambda m: F.replace(m, F.lit("."), F.lit("/"))), packages), lambda m: m != "__future__")
+
+
 def imports(files: DataFrame) -> DataFrame:
-    """(path, specifier): distinct imports of files (path, lang, body), natively, by the language's forms."""
-    found = lambda forms: F.flatten(F.array(*(F.regexp_extract_all("body", F.lit(p), 1) for p in forms)))
-    lang, none = F.col("lang"), F.array().cast("array<string>")
-    dotted = F.transform(found(IMPORTS["python"]), lambda s: F.replace(s, F.lit("."), F.lit("/")))
-    crate = F.filter(F.transform(found(IMPORTS["rust"]), lambda s: F.replace(F.regexp_replace(F.regexp_replace(s, "^(crate|self|super)::", ""), r"::\*$", ""), F.lit("::"), F.lit("/"))), lambda s: ~s.rlike("^(std|core|alloc)(/|$)") & (s != "tests"))
-    every = F.when(lang.isin("javascript", "typescript", "tsx"), found(IMPORTS["script"])).when(lang == "go", found(IMPORTS["go"])).when(lang == "rust", crate).when(lang == "python", F.filter(dotted, lambda s: s != "__future__")).otherwise(none)
+    """(path, specifier): distinct imports of files (path, lang, body), natively, by the language's import grammar."""
+    lang, body = F.col("lang"), F.col("body")
+    every = F.when(lang.isin("javascript", "typescript", "tsx"), _script_imports(body)).when(lang == "go", _go_imports(body)).when(lang == "rust", _rust_imports(body)).when(lang == "python", _python_imports(body))
     return files.select("path", F.explode(F.array_distinct(every)).alias("specifier")).where("specifier <> ''")
 
 

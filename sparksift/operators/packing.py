@@ -12,8 +12,8 @@ from sparksift.session import checkpointed
 SEPARATOR = (2, 1)
 RESERVE = (96, 3)  # bytes and lines kept free around a partial section
 LEAST_PARTIAL = 32
-# Words that mark a block's end.
-WORDS = ("ACORN", "BLAZE", "FJORD", "GLYPH", "HARBOR", "IVORY", "JUNIPER", "SIERRA", "UMBRA", "VIOLET", "WILLOW", "XENON", "YARROW", "ZEPHYR")
+#: Words that may mark a block's end.
+WORDS = ("AMBER", "BRINE", "COBALT", "DRIFT", "EMBER", "FLINT", "GROVE", "HAZEL", "INLET", "KELP", "LARCH", "MOSS", "OCHRE", "PEAT", "QUARTZ", "REED")
 
 
 def running(items: DataFrame, *order: str) -> DataFrame:

@@ -70,8 +70,9 @@ def test_whole_texts_are_compressed(spark, tmp_path):
 
 def test_heredoc():
     out = packing.heredoc([(1, "a.ts", "one\ntwo")])
-    assert out == "@a.ts\n<<'ACORN'\n1|one\n2|two\nACORN"
-    assert packing.delimiter(1, "ACORN") == "ACORN_1" and packing.delimiter(99, "") == "FILE99"
+    word = packing.WORDS[0]
+    assert out == f"@a.ts\n<<'{word}'\n1|one\n2|two\n{word}"
+    assert packing.delimiter(1, word) == f"{word}_1" and packing.delimiter(99, "") == "FILE99"
 
 
 @given(st.text(alphabet="ab \n", max_size=400), st.integers(5, 60), st.integers(0, 20))
