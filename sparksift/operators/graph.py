@@ -9,6 +9,8 @@ from sparksift.session import checkpointed
 
 SELF_LOOP, FOCUS = 0.1, 50
 DAMPING, ROUNDS, TOLERANCE = 0.85, 100, 1e-6
+#: Rounds of PageRank after which the ranks are written.
+WRITTEN = 5
 
 
 def _among(column: str, values: list[str]) -> Column:
@@ -56,12 +58,17 @@ def personalization(files: DataFrame, *, focus: list[str] | None = None, mention
     return out.groupBy("file").agg(F.sum("weight").alias("weight"))
 
 
+def unreferenced(defs: DataFrame, refs: DataFrame) -> DataFrame:
+    """(name, file) of definitions whose name nothing refers to."""
+    return defs.select("name", "file").distinct().join(refs.select("name").distinct(), "name", "left_anti")
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, personal: DataFrame | None = None, *, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float | None = TOLERANCE) -> DataFrame:
     """(id, rank) over nodes (id), edges (src, dst, weight) and personalization (id, weight).
 
     Ranks start even; what nodes without edges hold goes out by personalization. Edges to unknown nodes count
-    for nothing. Sums of each round are its only global values; they come from the round's own frame. Each round's
-    ranks are written once and read by the next; without a tolerance all rounds are run.
+    for nothing. Sums of each round are its only global values; they come from the round's own frame. A round's ranks
+    are kept for the next (a small row for each node), and written every ``WRITTEN`` rounds, which cuts the lineage. Without a tolerance all rounds are run.
     """
     ids = nodes.select("id").distinct()
     n = ids.count()
@@ -78,18 +85,30 @@ def pagerank(nodes: DataFrame, edges: DataFrame, personal: DataFrame | None = No
         total = mass.agg(F.sum("weight")).first()[0]
         base = ids.join(mass.groupBy("id").agg(F.sum("weight").alias("w")), "id", "left").select("id", (F.coalesce("w", F.lit(0.0)) / total if total else F.lit(1.0 / n)).alias("p"))
     base = checkpointed(base.join(out_weight.select(F.col("src").alias("id"), F.lit(False).alias("dangling")), "id", "left").withColumn("dangling", F.coalesce("dangling", F.lit(True))))
-    rank = base.withColumn("rank", F.lit(1.0 / n))
-    for _ in range(rounds):
+    rank, kept = base.withColumn("rank", F.lit(1.0 / n)), []
+    for at in range(1, rounds + 1):
         came = share.join(rank.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("w")).alias("came"))
         lost = rank.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"))
         new = rank.join(came, "id", "left").crossJoin(F.broadcast(lost))  # one row
         new = new.select("id", "p", "dangling", F.col("rank").alias("old"), ((1 - damping) * F.col("p") + damping * (F.coalesce("came", F.lit(0.0)) + F.col("lost") * F.col("p"))).alias("rank"))
-        new = checkpointed(new)  # a round is read three times by the next
+        written = at % WRITTEN == 0
+        new = checkpointed(new) if written else new.persist()  # a round is read three times by the next
         moved = None if tolerance is None else new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
         rank = new.drop("old")
+        if written:
+            _forget(kept)
+        else:
+            kept.append(new)
         if moved is not None and moved < tolerance:
             break
-    return rank.select("id", "rank")
+    out = checkpointed(rank.select("id", "rank"))
+    _forget(kept)
+    return out
+
+
+def _forget(frames: list[DataFrame]) -> None:
+    while frames:
+        frames.pop().unpersist()
 
 
 def tag_ranks(defs: DataFrame, ranks: DataFrame, *, focus: list[str] | None = None, idents: list[str] | None = None, files: list[str] | None = None) -> DataFrame:

@@ -41,25 +41,6 @@ def query(sql: str | None = None):
     return add
 
 
-class Whole(str):
-    """A data folder whose tables are read without the subset that a query's SQL takes."""
-
-    __slots__ = ()
-
-
-def _rows(spark, sf, name: str, subset: str) -> DataFrame:
-    t = table(spark, sf, name)
-    return t if isinstance(sf, Whole) else t.where(subset)
-
-
-def whole(*names: str, without: str, sql: bool = True) -> None:
-    """``NAME_whole`` for queries whose SQL takes a subset: the same over all rows, by the SQL without its filter (or none, where that is too slow)."""
-    for name in names:
-        QUERIES[f"{name}_whole"] = lambda spark, sf, f=QUERIES[name]: f(spark, Whole(sf))
-        if sql:
-            ORACLE[f"{name}_whole"] = ORACLE[name].replace(without, "")
-
-
 def _list(values: list) -> str:
     return "[" + ", ".join(f"'{v}'" if isinstance(v, str) else repr(v) for v in values) + "]"
 
@@ -147,10 +128,11 @@ def cosine_rank(spark, sf):
     return retrieval.ranked(cosine_similarity(spark, sf), "score", "sem_rank", "vec_id").select("vec_id", "sem_rank")
 
 
-@query("select vec_id, round(coalesce(list_cosine_similarity(embedding::double[], [0.0 for x in range(64)]::double[]), 0), 9) as score from embeddings where false union all select vec_id, 0.0 from embeddings")
+@query(f"with z as (select vec_id, list_transform(embedding::double[], lambda x: case when label % 3 = 0 then 0.0 else x end) as v from embeddings) select vec_id, round(case when list_sum(list_transform(v, lambda x: x * x)) = 0 then 0 else list_cosine_similarity(v, {VECTOR}::double[]) end, 9) as score from z")
 def cosine_zero_norm(spark, sf):
-    """Code search's cosine is 0 where a norm is 0."""
-    return table(spark, sf, "embeddings").select("vec_id", retrieval.cosine(F.col("embedding"), retrieval.vector([0.0] * 64), zero=0.0).alias("score"))
+    """Code search's cosine is 0 where a norm is 0; here for vectors of every third label, set to 0."""
+    v = F.transform("embedding", lambda x: F.when(F.col("label") % 3 == 0, F.lit(0.0)).otherwise(x.cast("double")))
+    return table(spark, sf, "embeddings").select("vec_id", F.round(retrieval.cosine(v, retrieval.vector(VECTOR), zero=0.0), 9).alias("score"))
 
 
 @query(f"with {_COSINE}, c as (select e.label, cos.vec_id, round(score, 9) as s from cos join embeddings e on e.vec_id = cos.vec_id) select label, max(s) as sem_score, arg_max(vec_id, s * 1000000000 * 1000000 - vec_id) as best_chunk from c group by 1")
@@ -285,11 +267,15 @@ def language_detect(spark, sf):
     return _paths(spark, sf).select("page_id", T.language(F.concat(F.lit("src/a.b/main"), suffix)).alias("lang"))
 
 
-@query("select page_id, case when page_id % 3 = 1 then true else false end as unsafe, page_id % 3 <> 1 as supported from pages")
+@query(f"""with {_PATHS}, p as (select page_id, regexp_replace(path, '[?].*$', '') as path from paths), made as (select page_id, case when path like '%.html' then path when page_id % 2 = 0 then path || '/../' || 'a.go' else path || '.' || ['py', 'TSX', 'txt', 'rs'][page_id % 4 + 1] end as path from p)
+select page_id, list_contains(string_split(path, '/'), '..') as unsafe, regexp_matches(lower(path), '[.](go|py|tsx|rs)$') and not list_contains(string_split(path, '/'), '..') as supported from made""")
 def supported_files(spark, sf):
-    """F2, F3 together on made paths: every third has an unknown suffix."""
-    path = F.when(F.col("page_id") % 3 == 1, "../a.txt").otherwise("src/a.go")
-    return _paths(spark, sf).select("page_id", T.unsafe_path(path).alias("unsafe"), T.language(path).isNotNull().alias("supported"))
+    """F2, F3 together: pages' paths, some through a parent folder, by whether they are safe and of a known language."""
+    p = _paths(spark, sf).withColumn("path", F.regexp_replace("path", "[?].*$", ""))
+    suffix = F.element_at(F.array(*(F.lit(x) for x in (".py", ".TSX", ".txt", ".rs"))), (F.col("page_id") % 4 + 1).cast("int"))
+    path = F.when(F.col("path").endswith(".html"), F.col("path")).when(F.col("page_id") % 2 == 0, F.concat("path", F.lit("/../a.go"))).otherwise(F.concat("path", suffix))
+    unsafe = T.unsafe_path(path)
+    return p.select("page_id", unsafe.alias("unsafe"), (T.language(path).isNotNull() & ~unsafe).alias("supported"))
 
 
 @query(f"""with {_PATHS}, rules(ord, neg, re) as (values (0, false, '^(?:.*/)?[^/]*e[^/]*(?:/.*)?$'), (1, true, '^(?:.*/)?[^/]*\\.net(?:/.*)?$'), (2, false, '^m\\.[^/]*(?:/.*)?$'))
@@ -315,12 +301,12 @@ def definition_proximity(spark, sf):
 
 
 # Tags: parts as identifiers, suppliers as files
-_TAGS = "tags as (select l_suppkey as file, p_name as name, case when l_linenumber = 1 then 'def' else 'ref' end as kind, l_orderkey as line from lineitem join part on p_partkey = l_partkey where p_size <= 3)"
+_TAGS = "tags as (select l_suppkey as file, p_name as name, case when l_linenumber = 1 then 'def' else 'ref' end as kind, l_orderkey as line from lineitem join part on p_partkey = l_partkey)"
 
 
 def _tags(spark, sf):
-    """(file, name, kind, line); as the SQL, of parts of size 3 or less, so that the graph is not complete."""
-    part = _rows(spark, sf, "part", "p_size <= 3").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name"))
+    """(file, name, kind, line) of all parts and lines."""
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name"))
     line = table(spark, sf, "lineitem").select("l_partkey", F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("line"), F.when(F.col("l_linenumber") == 1, "def").otherwise("ref").alias("kind"))
     return line.join(part, "l_partkey").select("file", "name", "kind", "line")
 
@@ -353,11 +339,11 @@ def def_ref_edges(spark, sf):
     return _edges(spark, sf).select("src", "dst", F.round("weight", 9).alias("weight"))
 
 
-@query(f"with {_TAGS} select distinct name, file from tags where kind = 'def' and name not in (select name from tags where kind = 'ref')")
+@query("with t as (select l_orderkey as name, l_suppkey as file, case when l_linenumber = 1 then 'def' else 'ref' end as kind from lineitem) select distinct name, file from t where kind = 'def' and name not in (select name from t where kind = 'ref')")
 def unreferenced_selfloops(spark, sf):
-    """Names that are defined and never referred to."""
-    defs, refs = _defs_refs(spark, sf)
-    return defs.select("name", "file").distinct().join(refs.select("name").distinct(), "name", "left_anti")
+    """Names that are defined and never referred to; orders as names, those of a single line are referred to nowhere."""
+    t = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("name"), F.col("l_suppkey").alias("file"), (F.col("l_linenumber") == 1).alias("defines"))
+    return graph.unreferenced(t.where("defines"), t.where("not defines"))
 
 
 @query("""with i as (select distinct p_type as name, p_size as definers from part union select unnest(['user_service', '_private_name', 'getUserById', 'short', 'kebab-case-name', 'get_x']), 3)
@@ -537,7 +523,7 @@ def mutation_stream(spark, sf):
 
 # Knowledge graph: nations and customers' segments as nodes, orders as links
 _KG = """nodes as (select c_custkey as id, c_name as label, 'file' || c_nationkey as source_file, c_custkey % 9 as community from customer),
-links as (select o_custkey as source, (o_orderkey * 7) % (select max(c_custkey) from customer) + 1 as target, o_orderpriority as relation, round(o_totalprice / 1000000, 6) as score from orders where o_orderkey % 3 = 0),
+links as (select o_custkey as source, (o_orderkey * 7) % (select max(c_custkey) from customer) + 1 as target, o_orderpriority as relation, round(o_totalprice / 1000000, 6) as score from orders),
 two as (select source as a, target as b from links union all select target, source from links),
 deg as (select a as id, count(distinct b) as degree from two where a <> b group by 1)"""
 
@@ -546,7 +532,7 @@ def _kg(spark, sf):
     c = table(spark, sf, "customer")
     n = c.agg(F.max("c_custkey")).first()[0] or 1
     nodes = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("label"), F.concat(F.lit("file"), F.col("c_nationkey")).alias("source_file"), (F.col("c_custkey") % 9).alias("community"))
-    links = _rows(spark, sf, "orders", "o_orderkey % 3 = 0").select(F.col("o_custkey").alias("source"), (F.col("o_orderkey") * 7 % n + 1).alias("target"), F.col("o_orderpriority").alias("relation"), F.round(F.col("o_totalprice") / 1000000, 6).alias("confidence_score"))
+    links = table(spark, sf, "orders").select(F.col("o_custkey").alias("source"), (F.col("o_orderkey") * 7 % n + 1).alias("target"), F.col("o_orderpriority").alias("relation"), F.round(F.col("o_totalprice") / 1000000, 6).alias("confidence_score"))
     return nodes, links
 
 
@@ -608,15 +594,12 @@ def kg_related_files(spark, sf):
     return knowledge.related_files(*_kg(spark, sf), "file3")
 
 
-whole("kg_degree", "kg_god_nodes", "kg_file_centrality", "kg_stats", "kg_bfs_depth3", "kg_related_files", without=" where o_orderkey % 3 = 0")
-
-
 # Packing
-_SIZES = "sizes as (select doc_id, octet_length(encode(text)) as bytes, case when text = '' then 0 else len(string_split(text, chr(10))) end as n_lines, row_number() over (order by doc_id) as i from documents where doc_id < 200)"
+_SIZES = "sizes as (select doc_id, octet_length(encode(text)) as bytes, case when text = '' then 0 else len(string_split(text, chr(10))) end as n_lines, row_number() over (order by doc_id) as i from documents)"
 
 
 def _sizes(spark, sf):
-    d = _rows(spark, sf, "documents", "doc_id < 200")  # a request's candidates
+    d = table(spark, sf, "documents")
     return d.select("doc_id", T.byte_count(F.col("text")).alias("bytes"), T.line_count(F.col("text")).alias("n_lines"))
 
 
@@ -632,31 +615,20 @@ def pack_prefix(spark, sf):
     return packing.prefix(_sizes(spark, sf), "doc_id", 51200, 2000).select("doc_id")
 
 
-@query(f"""with recursive {_SIZES}, ordered as (select doc_id, bytes, n_lines, row_number() over (order by bytes, doc_id) as k from sizes),
-fold(k, b, l, taken, doc_id) as (select 0::bigint, 0::bigint, 0::bigint, false, null::bigint union all
-    select o.k, case when ok then f.b + o.bytes + sep * 2 else f.b end, case when ok then f.l + o.n_lines + sep else f.l end, ok, o.doc_id
-    from (select f.*, o.k as nk, case when f.b = 0 and f.l = 0 then 0 else 1 end as sep from fold f join ordered o on o.k = f.k + 1) f join ordered o on o.k = f.nk cross join lateral (select f.b + o.bytes + f.sep * 2 <= 51200 and f.l + o.n_lines + f.sep <= 2000 as ok))
-select doc_id from fold where taken""")
+@query()
 def pack_skip(spark, sf):
-    """P1 smallest first: what does not fit is passed over."""
+    """P1 smallest first: what does not fit is passed over (a sequential fold, which SQL cannot do over all documents in time; tests hold it against a plain loop)."""
     return packing.skip(_sizes(spark, sf), ["bytes", "doc_id"], "doc_id", 51200, 2000)
 
 
-whole("running_budget", "pack_prefix", without=" where doc_id < 200")
-whole("pack_skip", without="", sql=False)
-
-
-@query("""with b as (select doc_id, trim(regexp_replace(regexp_replace(text, '(?m)^[ \\t]*(import|require|from)\\b[^\\n]*(\\n|$)', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ') as s from documents where length(text) < 20000)
+@query("""with b as (select doc_id, trim(regexp_replace(regexp_replace(text, '(?m)^[ \\t]*(import|require|from)\\b[^\\n]*(\\n|$)', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ') as s from documents)
 select doc_id, md5(case when length(s) > 1000 then substr(s, 1, 600) || chr(10) || '...' || chr(10) || right(s, 400) else s end) as digest from b""")
 def compress_snippet(spark, sf):
     """Texts without imports, shortened."""
-    d = _rows(spark, sf, "documents", "length(text) < 20000")
+    d = table(spark, sf, "documents")
     return d.select("doc_id", F.md5(T.compressed(F.col("text"))).alias("digest"))
 
 
-whole("compress_snippet", without=" where length(text) < 20000")
-
-
 @query()
 def char_chunks(spark, sf):
     """Overlapping chunks at paragraph, line or word ends (sequential; tests hold it against a plain loop)."""
@@ -694,9 +666,6 @@ def candidate_expansion(spark, sf):
     return expand.phased([seeds, linked, logged], 20).select("file", "phase")
 
 
-whole("def_ref_edges", "unreferenced_selfloops", "pagerank_fixed", "personalization", "pagerank_personalized", "tag_rank", "symbol_neighbours", "symbol_files", "symbol_search", "tag_counts", "file_symbols", "candidate_expansion", without=" where p_size <= 3")
-
-
 @query("select a.doc_id from documents a where a.lang = 'en' and a.doc_id not in (select doc_id from labels where quality = 0)")
 def set_difference(spark, sf):
     """An anti join."""

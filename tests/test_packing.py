@@ -53,7 +53,7 @@ def test_packing_by_force(spark, tmp_path):
     same = spark.createDataFrame([(7, 0, 0)] * 5000, "k long, bytes long, n_lines long")
     assert packing.skip(same, ["bytes", "k"], "k", 51200, 2000).count() == 2001
     spark.range(500).selectExpr("id as doc_id", "repeat('x', cast(id % 7 as int)) as text").write.parquet(f"{tmp_path}/documents.parquet")
-    assert [catalogue.QUERIES[q](spark, str(tmp_path)).count() for q in ("running_budget", "running_budget_whole", "pack_prefix_whole", "pack_skip_whole")] == [200, 500, 500, 500]
+    assert [catalogue.QUERIES[q](spark, str(tmp_path)).count() for q in ("running_budget", "pack_prefix", "pack_skip")] == [500, 500, 500]
 
 
 def test_whole_texts_are_compressed(spark, tmp_path):
@@ -63,7 +63,7 @@ def test_whole_texts_are_compressed(spark, tmp_path):
 
     texts = ["short", "x" * 19_999, "y" * 20_000, "import os\n" + "z" * 300_000]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.digest for r in catalogue.QUERIES["compress_snippet_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.digest for r in catalogue.QUERIES["compress_snippet"](spark, str(tmp_path)).collect()}
     short = lambda t: t if len(t) <= 1000 else f"{t[:600]}\n...\n{t[-400:]}"
     assert got == {i: hashlib.md5(short(t.removeprefix("import os\n")).encode()).hexdigest() for i, t in enumerate(texts)}
 
