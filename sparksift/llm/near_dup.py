@@ -14,10 +14,11 @@ and linked with nothing). Documents link where the Jaccard similarity of their w
 4. Survivors are verified on the whole sets.
 
 Members are first compared with their bucket's least; what this joins needs no other pair. Buckets that still
-hold several groups are compared throughout, in pairs of blocks of ``block`` members, and only pairs across
-groups go on: no bucket is cut, none is gathered in one task. Of such a bucket with more than ``block`` members first
-those meet that share one of 128 bands of 8 of the signature's minima: a pair at similarity 0.8 shares none with
-probability (1 - 0.8**8)**128 < 1e-10, and members that merely share a passage are spared a comparison with all others.
+hold several groups are compared throughout: blocks of ``block`` members outside the bucket's largest group meet
+blocks of all, and only pairs across groups go on: no bucket is cut, none is gathered in one task, and a member is
+copied once for each block of those outside the largest group. Where these would be more than 128 blocks, first
+those members meet that share one of 128 bands of 8 of the signature's minima: a pair at similarity 0.8 shares none
+with probability (1 - 0.8**8)**128 < 1e-10.
 
 Hot keys: joins on a bucket, and on the least of a bucket, are dealt by the other side's id into as many shares as
 the bucket has blocks. Texts with more than ``HEAVY`` copies (so there are at most rows / ``HEAVY``) get their group from
@@ -45,7 +46,9 @@ BATCHES = (16, 32, 64, 96, 128, 192, 256, 384, 512, 768, 1024)
 #: Bytes of candidates' ids up to which they are broadcast to fetch their texts; beyond, texts and ids are shuffled.
 BROADCAST_BYTES = 16 << 20
 HEAVY = 100_000
+#: Minima in a band that parts a large bucket, and the blocks beyond which it is one: from there bands make fewer copies.
 SUB = 8
+LARGE = SIGNATURE // SUB
 
 
 def minimum_matches(threshold: float, miss: float) -> list[tuple[int, int]]:
@@ -206,47 +209,55 @@ def _spread(rows: DataFrame, size: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _mixed(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
-    """The rows (id, comp, n) of keys that hold several groups; a key is met in as many shares as ``n`` has blocks."""
-    several = rows.groupBy(*keys).agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("n").alias("most")).where("c0 <> c1")
-    shares = several.select(*keys, F.explode(F.sequence(F.lit(0), _blocks("most", block) - 1)).alias("share"))
-    return rows.withColumn("share", _share("id", block, "n")).join(shares, [*keys, "share"], "left_semi").drop("share")
+    """The rows (id, comp, n) of keys that hold several groups, with the largest group (``main``), the members of ``others`` and of all (``total``); a key is met in as many shares as ``n`` has blocks."""
+    sizes = rows.groupBy(*keys, "comp").agg(F.count("*").alias("c"), F.max("n").alias("most"))
+    several = sizes.groupBy(*keys).agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), (F.sum("c") - F.max("c")).alias("others"), F.sum("c").alias("total"), F.max("most").alias("most")).where("others > 0")
+    shares = several.select(*keys, "main", "others", "total", F.explode(F.sequence(F.lit(0), _blocks("most", block) - 1)).alias("share"))
+    return rows.withColumn("share", _share("id", block, "n")).join(shares, [*keys, "share"]).drop("share")
 
 
-def _refined(members: DataFrame, block: int) -> DataFrame:
-    """Members with ``band`` and ``part`` (-1 and 0): buckets of more than ``block`` members parted by the bands of their signatures, parts of one group left out."""
-    large, small = members.where(F.col("n") > block), members.where(F.col("n") <= block)
+_MEMBER = ("bucket", "band", "part", "id", "comp", "main", "others", "total", "sig", "all")
+
+
+def _refined(large: DataFrame, block: int) -> DataFrame:
+    """Members of large buckets by each band of their signatures (``band``, ``part``)."""
     part = F.expr(f"transform(sequence(0, {SIGNATURE // SUB - 1}), j -> xxhash64(substring(sig, {SUB} * j + 1, {SUB})))")
-    parted = stored(large.select("bucket", "n", "id", "comp", F.posexplode(part).alias("band", "part")), "bands")
-    several = stored(_mixed(parted, ["bucket", "band", "part"], block), "bands")
-    size = several.groupBy("bucket", "band", "part").agg(F.count("*").alias("n"))
-    sized = _spread(several.drop("n"), size, ["bucket", "band", "part"])
+    parted = stored(large.select("bucket", F.col("total").alias("n"), "id", "comp", F.posexplode(part).alias("band", "part")), "bands")
     own = large.select("id", "sig", "all").dropDuplicates(["id"])
-    names = ["bucket", "band", "part", "n", "id", "comp", "sig", "all"]
-    return small.withColumns({"band": F.lit(-1), "part": F.lit(0).cast("long")}).select(*names).union(sized.join(own, "id").select(*names))
+    return _mixed(parted, ["bucket", "band", "part"], block).join(own, "id").select(*_MEMBER)
 
 
 def _across(rest: DataFrame, sets: DataFrame, steps: list[tuple[int, int]], block: int) -> DataFrame:
-    """Of buckets (bucket, id, comp, n): the surviving pairs (a, b, n) of different groups, by pairs of blocks of members; a pair comes from the least bucket, and the first band, that it shares."""
+    """Of buckets (bucket, id, comp, main, others, total): the surviving pairs (a, b, n) of different groups.
+
+    Blocks of members outside the bucket's largest group meet blocks of all members; a pair comes from the least bucket, and the first band, that it shares.
+    """
     lists = rest.groupBy("id").agg(F.array_sort(F.collect_list("bucket")).alias("all"))  # one for each band at most
     members = stored(rest.join(lists, "id").join(sets.select("id", "sig"), "id"), "members")
-    m = _refined(members, block).withColumn("k", _blocks("n", block)).withColumn("i", _share("id", block, "n"))
-    m = m.withColumn("j", F.explode(F.expr("sequence(0, k - 1)")))
-    dealt = m.select("bucket", "band", "part", "n", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "id", "comp", "sig", "all")
+    large = F.col("others") > LARGE * block
+    m = members.where(~large).withColumns({"band": F.lit(-1), "part": F.lit(0).cast("long")}).select(*_MEMBER)
+    if not members.where(large).isEmpty():
+        m = m.union(_refined(members.where(large), block))
+    few, many = ("others", block), ("total", 16 * block)
+    every = lambda of: F.explode(F.sequence(F.lit(0), _blocks(*of) - 1))
+    left = m.where("comp <> main").withColumn("lo", _share("id", few[1], few[0])).withColumn("hi", every(many)).withColumn("left", F.lit(True))
+    right = m.withColumn("hi", _share("id", many[1], many[0])).withColumn("lo", every(few)).withColumn("left", F.lit(False))
     kind = rest.schema["id"].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         one = lambda c: table.column(c)[0].as_py()
+        column = lambda c: table.column(c).to_numpy(zero_copy_only=False)
         sig = _signed(table.column("sig"), table.num_rows)
-        _, comp = np.unique(table.column("comp").to_numpy(zero_copy_only=False), return_inverse=True)
-        side, bucket, band = table.column("i").to_numpy(), one("bucket"), one("band")
-        left, right = np.flatnonzero(side == one("lo")), np.flatnonzero(side == one("hi"))
+        _, comp = np.unique(column("comp"), return_inverse=True)
+        _, order = np.unique(column("id"), return_inverse=True)
+        other, is_left, bucket, band = column("comp") != column("main"), column("left"), one("bucket"), one("band")
+        left, right = np.flatnonzero(is_left), np.flatnonzero(~is_left)
         every = [set(x) for x in table.column("all").to_pylist()]
         bands = np.ascontiguousarray(sig).view(U64)
         out_a, out_b = [], []
         for p in left:
-            q = right[right > p] if one("lo") == one("hi") else right
-            q = q[comp[q] != comp[p]]
+            q = right[(comp[right] != comp[p]) & (~other[right] | (order[right] > order[p]))]
             if band >= 0 and len(q):
                 q = q[np.argmax(bands[q] == bands[p], axis=1) == band]
             if len(q):
@@ -256,9 +267,9 @@ def _across(rest: DataFrame, sets: DataFrame, steps: list[tuple[int, int]], bloc
                 out_b.append(q)
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
         ids = table.column("id")
-        return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b)), "n": pa.array(np.full(len(a), one("n")), pa.int64())})
+        return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b)), "n": pa.array(np.full(len(a), one("total")), pa.int64())})
 
-    found = dealt.groupBy("bucket", "band", "part", "lo", "hi").applyInArrow(run, f"a {kind}, b {kind}, n long")
+    found = left.union(right).groupBy("bucket", "band", "part", "lo", "hi").applyInArrow(run, f"a {kind}, b {kind}, n long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n").groupBy("a", "b").agg(F.max("n").alias("n"))
 
 

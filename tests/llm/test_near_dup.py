@@ -40,8 +40,9 @@ def by_force(rows, n):
     return label, sets
 
 
-@pytest.mark.parametrize("heavy, ids, block, kind", [(100_000, 1 << 24, 512, "long"), (2, 0, 5, "long"), (3, 0, 16, "string")])
-def test_groups_by_force(spark, monkeypatch, heavy, ids, block, kind):
+@pytest.mark.parametrize("heavy, ids, block, kind, large", [(100_000, 1 << 24, 512, "long", 128), (2, 0, 5, "long", 128), (3, 0, 16, "string", 128), (3, 0, 1, "long", 0)])
+def test_groups_by_force(spark, monkeypatch, heavy, ids, block, kind, large):
+    monkeypatch.setattr(near_dup, "LARGE", large)  # 0: all are parted by bands
     monkeypatch.setattr(near_dup, "HEAVY", heavy)
     monkeypatch.setattr(near_dup, "BROADCAST_BYTES", ids)
     rows = corpus()
