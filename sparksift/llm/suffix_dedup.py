@@ -13,9 +13,12 @@ A byte goes if a string of ``length`` bytes around it also starts in a document
    ordered windows are merged by binary search.
 4. Runs of covered bytes go back to their documents, where they unite.
 
-Texts are judged as UTF-8 on the input. Copies of a whole text are found first, by 128 bits of hash: all but the
-least id's go as a whole and take no further part. Null texts are empty and lose nothing, as do texts under ``length`` bytes. A null id is neither source nor loser. Rows with the
-same id do not remove each other's bytes. An empty table gives no rows.
+Texts are judged as UTF-8 on the input. Copies of a whole text are found first, by 128 bits of hash and the length:
+all but the least id's go as a whole and take no further part. Contexts count as equal only where their bytes are.
+A row is known by its id together with a 64-bit hash of id and text, so two rows are taken for one only if both agree.
+Ids that are no integers are numbered in their order first. Null texts are empty and lose nothing, as do texts under
+``length`` bytes. A null id is neither source nor loser. Rows with the same id do not remove each other's bytes. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .text import U64, mix, raw, slices, stored, substrings
 
@@ -33,8 +37,10 @@ GRAM = 16
 SLICE = 8 << 20
 #: Contexts in a suffix array: positions and two ranks of 21 bits fill a sort key.
 ARRAY = 24_000
-#: Copies up to which their keys are broadcast (8 bytes each); beyond, they are joined by shuffling.
+#: Copies up to which their ids and keys are broadcast (16 bytes each); beyond, they are joined by shuffling.
 BROADCAST_KEYS = 2_000_000
+#: Copies of one text beyond which its least id is broadcast (at most rows / ``HEAVY`` texts), and shares for the others.
+HEAVY, SHARES = 100_000, 8
 _NONE = np.iinfo(np.int64).max
 
 
@@ -166,20 +172,30 @@ class Rows:
         kinds = [pa.int64(), pa.int32(), *[pa.binary()] * len(_FIELDS)]
         return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["k", "kind", *_FIELDS])
 
-    def shared(self, key: np.ndarray, h: np.ndarray, parts: int, buckets: int = 0) -> None:
-        """Shared hashes for their rows, by part; through a bucket, if there are buckets."""
-        self._by_part(key, parts, lambda p, s: self.add(p if not buckets else p % buckets, _SHARED, key[s], h[s], np.array([p])))
+    def shared(self, docs: tuple[np.ndarray, np.ndarray], h: np.ndarray, parts: int, buckets: int = 0) -> None:
+        """Shared hashes for their rows (key, id), by part; through a bucket, if there are buckets."""
+        self._by_part(docs, parts, lambda p, s, of: self.add(p if not buckets else p % buckets, _SHARED, *of, h[s], np.array([p])))
 
-    def runs(self, key: np.ndarray, a: np.ndarray, b: np.ndarray, parts: int, shards: int = 0) -> None:
-        self._by_part(key, parts, lambda p, s: self.add(p if not shards else p % shards, _RUNS, key[s], a[s].astype(np.uint32), b[s].astype(np.uint32), np.array([p])))
+    def runs(self, docs: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray, parts: int, shards: int = 0) -> None:
+        self._by_part(docs, parts, lambda p, s, of: self.add(p if not shards else p % shards, _RUNS, *of, a[s].astype(np.uint32), b[s].astype(np.uint32), np.array([p])))
 
-    def _by_part(self, key: np.ndarray, parts: int, put) -> None:
+    def _by_part(self, docs: tuple[np.ndarray, np.ndarray], parts: int, put) -> None:
+        key, ids = docs
         part = (key.view(np.uint64) % U64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
+        order = np.lexsort((ids, key, part))
         cut = np.flatnonzero(np.diff(part[order])) + 1
         for s in np.split(order, cut):
             if len(s):
-                put(int(part[s[0]]), s)
+                fresh = np.concatenate([[True], (key[s][1:] != key[s][:-1]) | (ids[s][1:] != ids[s][:-1])])
+                back = np.cumsum(fresh) - 1
+                put(int(part[s[0]]), s, (key[s[fresh]], ids[s[fresh]], back.astype(np.uint32)))
+
+
+def _by_row(key: np.ndarray, ids: np.ndarray, back: np.ndarray) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+    """Each row (key, id) of a message of ``shared`` or ``runs`` with its places there."""
+    edges = np.searchsorted(back, np.arange(len(key) + 1))
+    for i, row in enumerate(zip(key.tolist(), ids.tolist(), strict=True)):
+        yield row, np.arange(edges[i], edges[i + 1])
 
 
 def _read(row: dict, **kinds: type) -> list[np.ndarray]:
@@ -194,7 +210,11 @@ def _dicts(table: pa.Table) -> Iterator[dict]:
 
 
 def _pack(x: np.ndarray) -> np.ndarray:
-    return np.frombuffer(pa.compress(x.tobytes(), "zstd", asbytes=True), np.uint8)
+    return np.frombuffer(x.nbytes.to_bytes(8, "little") + pa.compress(x.tobytes(), "zstd", asbytes=True), np.uint8)
+
+
+def _unpack(buffer: pa.Buffer) -> pa.Buffer:
+    return pa.decompress(buffer[8:], int.from_bytes(buffer[:8].to_pybytes(), "little"), "zstd")
 
 
 def _sent(docs: DataFrame, length: int, buckets: int, parts: int) -> DataFrame:
@@ -221,7 +241,7 @@ def _sent(docs: DataFrame, length: int, buckets: int, parts: int) -> DataFrame:
                     low, high = np.minimum.reduceat(ids[d], first), np.maximum.reduceat(ids[d], first)
                     known = low != high
                     again = np.repeat(known, n)
-                    rows.shared(keys[d[again]], h[again], parts, buckets)
+                    rows.shared((keys[d[again]], ids[d[again]]), h[again], parts, buckets)
                     bucket = _bucket(h[first], buckets)
                     for b in np.unique(bucket).tolist():
                         g = np.arange(*np.searchsorted(bucket, [b, b + 1]))
@@ -241,8 +261,8 @@ def _meet(parts: int):
         rows, hs, ids, keys = Rows(), [], [], []
         for row in _dicts(table):
             if row["kind"] == _SHARED:
-                key, h, part = _read(row, x=np.int64, y=U64, z=np.int64)
-                rows.add(part[0], _SHARED, key, h, part)
+                key, doc, back, h, part = _read(row, x=np.int64, y=np.int64, z=np.uint32, u=U64, v=np.int64)
+                rows.add(part[0], _SHARED, key, doc, back, h, part)
                 continue
             h, doc_ids, doc_keys, known, low = _read(row, x=U64, z=np.int64, u=np.int64, v=U64, w=np.int64)
             back = np.frombuffer(row["y"], np.uint32 if len(doc_ids) > 65535 else np.uint16)
@@ -258,7 +278,7 @@ def _meet(parts: int):
                 first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
                 several = np.minimum.reduceat(i, first) != np.maximum.reduceat(i, first)
                 yes = np.repeat(several, np.diff(np.append(first, len(h)))) & wants
-                rows.shared(k[yes], h[yes], parts)
+                rows.shared((k[yes], i[yes]), h[yes], parts)
         return rows.table()
 
     return run
@@ -274,33 +294,42 @@ def _codes(mat: np.ndarray, h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np
     return code
 
 
+def _differs(order: np.ndarray, code: np.ndarray, mat: np.ndarray, *others: np.ndarray) -> np.ndarray:
+    """Where contexts in order differ from the one before, in their bytes or else."""
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = code[order][1:] != code[order][:-1]
+    alike = np.flatnonzero(~fresh)
+    for i in range(0, len(alike), 1 << 16):
+        x, y = order[alike[i : i + (1 << 16)]], order[alike[i : i + (1 << 16)] - 1]
+        fresh[alike[i : i + (1 << 16)]] = (mat[x] != mat[y]).any(1) | np.any([o[x] != o[y] for o in others], axis=0)
+    return fresh
+
+
 def _context(length: int, shards: int, parts: int):
     """Step 2, by part: contexts to their shards; what a smaller id covers within the part, as runs."""
     left, right = length - GRAM, length
 
     def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
         rows = Rows()
-        known: dict[int, list[np.ndarray]] = {}
+        known: dict[tuple[int, int], list[np.ndarray]] = {}
         for row in _dicts(replies):
-            key, h = _read(row, x=np.int64, y=U64)
-            order = np.argsort(key, kind="stable")
-            at = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else []
-            for s in np.split(order, at[1:]) if len(key) else ():
-                known.setdefault(int(key[s[0]]), []).append(h[s])
+            key, doc, back, h = _read(row, x=np.int64, y=np.int64, z=np.uint32, u=U64)
+            for name, s in _by_row(key, doc, back):
+                known.setdefault(name, []).append(h[s])
         if not texts.num_rows or not known:
             return rows.table()
         body, offs = raw(texts.column("text"))
         ids, keys = texts.column("id").fill_null(0).to_numpy(), texts.column("key").to_numpy()
         mats, hs, ds, ps, ls, rs = [], [], [], [], [], []
-        done: set[int] = set()
+        done: set[tuple[int, int]] = set()
         skip = [c or i is None for c, i in zip(texts.column("copy").to_pylist(), texts.column("id").to_pylist(), strict=True)]
-        for i, key in enumerate(keys.tolist()):
-            if skip[i] or key not in known or key in done:
+        for i, name in enumerate(zip(keys.tolist(), ids.tolist(), strict=True)):
+            if skip[i] or name not in known or name in done:
                 continue
-            done.add(key)
+            done.add(name)
             text = body[offs[i] : offs[i + 1]]
             at, h = anchors(text, length)
-            keep = np.isin(h, np.concatenate(known[key]))
+            keep = np.isin(h, np.concatenate(known[name]))
             at, h = at[keep], h[keep]
             if len(at):
                 padded = np.concatenate([np.zeros(left, np.uint8), text, np.zeros(right, np.uint8)])
@@ -315,12 +344,12 @@ def _context(length: int, shards: int, parts: int):
         mat, h, d, p, lo, hi = (np.concatenate(x) for x in (mats, hs, ds, ps, ls, rs))
         code = _codes(mat, h, lo, hi)
         order = np.lexsort((ids[d], code))
-        fresh = np.concatenate([[True], code[order][1:] != code[order][:-1]])
+        fresh = _differs(order, code, mat, h, lo, hi)
         least = ids[d][order][np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
         mine = ids[d][order] == least
         gone = order[~mine]
         gone = gone[lo[gone] + hi[gone] >= length]
-        rows.runs(keys[d[gone]], p[gone] - lo[gone], p[gone] + hi[gone], parts, shards)
+        rows.runs((keys[d[gone]], ids[d[gone]]), p[gone] - lo[gone], p[gone] + hi[gone], parts, shards)
         order = order[mine]
         context = np.cumsum(fresh)[mine] - 1
         heads = order[np.concatenate([[True], context[1:] != context[:-1]])]
@@ -334,7 +363,7 @@ def _context(length: int, shards: int, parts: int):
             occ = np.concatenate([order[first[j] : first[j] + n[j]] for j in g]) if (n[g] > 1).any() else order[first[g]]
             docs_of, back = np.unique(d[occ], return_inverse=True)
             where = np.stack([np.repeat(np.arange(len(g)), n[g]), back.ravel(), p[occ]]).astype(np.uint32)
-            rows.add(shard[e[0]], _CONTEXTS, _pack(mat[e]), h[e], np.stack([lo[e], hi[e]]).astype(np.uint16), ids[d[e]], _pack(where), keys[docs_of])
+            rows.add(shard[e[0]], _CONTEXTS, _pack(mat[e]), h[e], np.stack([lo[e], hi[e]]).astype(np.uint16), ids[d[e]], _pack(where), keys[docs_of], ids[docs_of])
         return rows.table()
 
     return run
@@ -376,26 +405,25 @@ def _shard(length: int, parts: int, array: int):
         rows, got = Rows(), []
         for row in _dicts(table):
             if row["kind"] == _RUNS:
-                key, a, b, part = _read(row, x=np.int64, y=np.uint32, z=np.uint32, u=np.int64)
-                rows.add(part[0], _RUNS, key, a, b, part)
+                key, doc, back, a, b, part = _read(row, x=np.int64, y=np.int64, z=np.uint32, u=np.uint32, v=np.uint32, w=np.int64)
+                rows.add(part[0], _RUNS, key, doc, back, a, b, part)
                 continue
-            h, sides, ids, keys = _read(row, y=U64, z=np.uint16, u=np.int64, w=np.int64)
-            mat = np.frombuffer(pa.decompress(row["x"], len(h) * width, "zstd"), np.uint8).reshape(-1, width)
+            h, sides, ids, keys, docs = _read(row, y=U64, z=np.uint16, u=np.int64, w=np.int64, s=np.int64)
+            mat = np.frombuffer(_unpack(row["x"]), np.uint8).reshape(-1, width)
             where = np.frombuffer(_unpack(row["v"]), np.uint32).reshape(3, -1).astype(np.int64)
-            got.append((mat, h, sides.reshape(2, -1).astype(np.int64), ids, where, keys))
+            got.append((mat, h, sides.reshape(2, -1).astype(np.int64), ids, where, keys, docs))
         if not got:
             return rows.table()
         start = np.concatenate([[0], np.cumsum([len(x[1]) for x in got])[:-1]])
         mat, h, ids = (np.concatenate([x[i] for x in got]) for i in (0, 1, 3))
         lo, hi = np.concatenate([x[2] for x in got], 1)
         occ = np.concatenate([x[4][0] + s for x, s in zip(got, start, strict=True)])
-        occ_key = np.concatenate([x[5][x[4][1]] for x in got])
+        occ_key, occ_id = (np.concatenate([x[k][x[4][1]] for x in got]) for k in (5, 6))
         occ_at = np.concatenate([x[4][2] for x in got])
         # equal contexts are one for the array: all but their least id are covered throughout
         code = _codes(mat, h, lo, hi)
         order = np.lexsort((ids, code))
-        code = code[order]
-        fresh = np.concatenate([[True], code[1:] != code[:-1]])
+        fresh = _differs(order, code, mat, h, lo, hi)
         cls = np.empty(len(h), np.int64)
         cls[order] = np.cumsum(fresh) - 1
         rep = order[fresh]
@@ -433,18 +461,12 @@ def _shard(length: int, parts: int, array: int):
         times = n[occ]
         which = np.repeat(first[occ], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         base = np.repeat(occ_at - left, times)
-        rows.runs(np.repeat(occ_key, times), base + a[which], base + b[which] - 1 + length, parts)
+        rows.runs((np.repeat(occ_key, times), np.repeat(occ_id, times)), base + a[which], base + b[which] - 1 + length, parts)
         return rows.table()
 
     return run
 
 
-def _unpack(buffer: pa.Buffer) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdDecompressor().decompressobj().decompress(bytes(buffer))
-
-
 def _windows(mat: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """Windows as byte strings that compare as the suffixes do; a mark after each keeps trailing zeros."""
     view = np.lib.stride_tricks.sliding_window_view(np.ascontiguousarray(mat).ravel(), length)[at]
@@ -456,19 +478,16 @@ def _united(length: int):
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         body, at = raw(texts.column("text"))
-        runs: dict[int, list] = {}
+        runs: dict[tuple[int, int], list] = {}
         for row in _dicts(found):
-            key, a, b = _read(row, x=np.int64, y=np.uint32, z=np.uint32)
-            order = np.argsort(key, kind="stable")
-            cut = np.flatnonzero(np.diff(key[order])) + 1
-            for s in np.split(order, cut):
-                if len(s):
-                    runs.setdefault(int(key[s[0]]), []).append((a[s], b[s]))
+            key, doc, back, a, b = _read(row, x=np.int64, y=np.int64, z=np.uint32, u=np.uint32, v=np.uint32)
+            for name, s in _by_row(key, doc, back):
+                runs.setdefault(name, []).append((a[s], b[s]))
         spans, kept, copy = [], [], texts.column("copy").to_pylist()
-        for i, key in enumerate(texts.column("key").to_pylist()):
+        for i, name in enumerate(zip(texts.column("key").to_pylist(), texts.column("id").to_pylist(), strict=True)):
             text = body[at[i] : at[i + 1]]
             depth = np.zeros(len(text) + 1, np.int64)
-            for a, b in runs.get(key, ()):
+            for a, b in runs.get(name, ()):
                 np.add.at(depth, a, 1)
                 np.add.at(depth, b, -1)
             gone = np.full(len(text), True) if copy[i] and len(text) >= length else np.cumsum(depth[:-1]) > 0
@@ -482,16 +501,27 @@ def _united(length: int):
 
 def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 50, part_bytes: int = 4 << 20, array: int = ARRAY) -> DataFrame:
     """Per row: ``doc_id``, n_bytes, spans (removed runs of bytes: start, end), kept (the other bytes)."""
-    whole = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    whole = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    if not isinstance(whole.schema["id"].dataType, IntegralType):
+        numbers = stored(whole.select("id").where("id is not null").distinct().orderBy("id").withColumn("number", F.monotonically_increasing_id()), "numbers")
+        named = deduplicate(whole.join(numbers, "id", "left").select(F.col("number").alias("id"), "text"), doc_id="id", length=length, part_bytes=part_bytes, array=array)
+        return named.withColumnRenamed("id", "number").join(numbers, "number", "left").select(F.col("id").alias(doc_id), "n_bytes", "spans", "kept")
+    whole = whole.withColumn("id", F.col("id").cast("long"))
     whole = whole.withColumn("key", F.xxhash64("id", "text"))
     same = whole.where("id is not null").select("id", "key", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), F.octet_length("text").alias("n"))
     size, rows = same.agg(F.sum("n"), F.count("*")).first()
     parts = max(1, -(-(size or 0) // part_bytes))
-    least = same.groupBy("h", "g", "n").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").drop("most")
-    copies = stored(same.join(least, ["h", "g", "n"]).where("id > least").select("key").distinct(), "copies")
+    least = same.groupBy("h", "g", "n").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("copies")).where("least <> most")
+    least = stored(least.drop("most"), "least")
+    few = F.broadcast(least.where(F.col("copies") > HEAVY))
+    share = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share")
+    rest = same.join(few, ["h", "g", "n"], "left_anti").withColumn("share", F.pmod(F.xxhash64("id"), F.lit(SHARES)).cast("int"))
+    rest = rest.join(least.where(F.col("copies") <= HEAVY).select("*", share), ["h", "g", "n", "share"])
+    both = same.join(few, ["h", "g", "n"]).select("id", "key", "least").union(rest.select("id", "key", "least"))
+    copies = stored(both.where("id > least").select("id", "key").distinct(), "copies")
     few = copies.count() <= BROADCAST_KEYS
     copies = copies.withColumn("copy", F.lit(True))
-    texts = whole.join(F.broadcast(copies) if few else copies, "key", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
+    texts = whole.join(F.broadcast(copies) if few else copies, ["id", "key"], "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
     texts = texts.withColumn("k", F.expr(f"cast((cast(key as decimal(20,0)) + if(key < 0, 18446744073709551616BD, 0BD)) % {parts} as bigint)"))
     judged = texts.where("id is not null and not copy").select("id", "text", "key")
     met = _sent(judged, length, parts, parts).groupBy("k").applyInArrow(_meet(parts), _SCHEMA)
