@@ -7,6 +7,7 @@ an odd base (so any substring's hash comes from a prefix sum), then mixed.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -152,6 +153,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def settle(spark: SparkSession) -> None:
+    """Let go of finished jobs' plans on both sides of the driver, so that the context cleaner deletes their shuffle files now."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``stored`` wrote for this frame; nothing may read it any more."""
     sc = df.sparkSession.sparkContext
