@@ -238,7 +238,7 @@ def _across(rest: DataFrame, sets: DataFrame, steps: list[tuple[int, int]], bloc
     m = members.where(~large).withColumns({"band": F.lit(-1), "part": F.lit(0).cast("long")}).select(*_MEMBER)
     if not members.where(large).isEmpty():
         m = m.union(_refined(members.where(large), block))
-    few, many = ("others", block), ("total", 16 * block)
+    few, many = ("others", block), ("total", block)
     every = lambda of: F.explode(F.sequence(F.lit(0), _blocks(*of) - 1))
     left = m.where("comp <> main").withColumn("lo", _share("id", few[1], few[0])).withColumn("hi", every(many)).withColumn("left", F.lit(True))
     right = m.withColumn("hi", _share("id", many[1], many[0])).withColumn("lo", every(few)).withColumn("left", F.lit(False))
