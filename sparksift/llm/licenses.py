@@ -3,13 +3,13 @@
 Texts and templates become words (lower case, runs of letters a-z and digits) and hashes of 5-word shingles (all
 words, where there are fewer). Overlapping windows as long as a template, an eighth of it apart, get ``BANDS``
 minima, each a band of its own; a template is retrieved by a document if one band of one window equals its own.
-A window that holds 0.8 of a template's shingles has a similarity of 0.5 at least even where the nearest window
-is off by a sixteenth of its length, so a template is missed with probability below 0.5 ** 16. For retrieved
-templates the containment is then exact: over all windows, the largest share of the template's distinct
+Only a window that holds the shingle behind one of the template's minima can, so first those shingles are looked for
+(at most ``BANDS`` for each template), and minima are taken of windows that hold one. A window that holds 0.8 of a
+template's shingles has a similarity of 0.5 at least even where the nearest window is off by a sixteenth of its
+length, so a template is missed with probability below 0.5 ** 16. For retrieved templates the containment is then exact: over all windows, the largest share of the template's distinct
 shingles that a window holds.
 
-Documents without a single shingle of any template are passed over first, as none can be contained in them. All
-of it happens within a row: no shuffle, whatever one notice's share of the corpus. Null and empty texts hold no
+All of it happens within a row: no shuffle, whatever one notice's share of the corpus. Null and empty texts hold no
 template; rows are independent, so ties, repeated rows and extra columns change nothing.
 """
 
@@ -20,17 +20,38 @@ from pyspark.sql import functions as F
 
 BANDS = 16
 WORDS = 5
-#: Short notices and the openings of public licenses.
+#: Short notices, notices and texts of public licenses, and the grants that open some of them.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("MIT-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("MIT-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("MIT-0-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("MIT-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("ISC-text", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("0BSD-text", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause-text", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-3-Clause-text", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("Zlib-text", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("Unlicense-text", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."),
+    ("BSL-1.0-text", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."),
+    ("WTFPL-text", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed. DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO."),
+    ("PostgreSQL-text", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies."),
+    ("Apache-2.0-notice", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("Apache-2.0-text", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
-    ("BSD-text", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("GPL-2.0-notice", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program"),
+    ("GPL-3.0-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program"),
+    ("AGPL-3.0-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program"),
+    ("LGPL-3.0-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this program"),
+    ("LGPL-2.1-notice", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library"),
     ("GPL-3.0-text", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MPL-2.0-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("EPL-2.0-notice", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("CC0-1.0-notice", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. This work is published under the CC0 1.0 Universal Public Domain Dedication."),
+    ("CC-BY-SA-4.0-notice", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-sa/4.0/"),
 )
 
 
@@ -46,11 +67,12 @@ def _minima(window: str) -> str:
     return f"transform(sequence(1, {BANDS}), j -> array_min(transform({window}, x -> xxhash64(x, j))))"
 
 
-def compiled(spark: SparkSession, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[tuple[str, int, list[int], list[int]]]:
-    """Name, shingles in order, distinct shingles and minima of each template."""
+def compiled(spark: SparkSession, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[tuple[str, int, list[int], list[int], list[int]]]:
+    """Name, shingles in order, distinct shingles, minima and the shingles that are these minima, of each template."""
     rows = spark.createDataFrame(list(templates), "name string, text string").select("name", F.expr(_shingles("text")).alias("s"))
-    rows = rows.where("size(s) > 0").select("name", F.size("s").alias("n"), F.array_distinct("s").alias("d"), F.expr(_minima("s")).alias("m"))
-    return sorted((r.name, r.n, list(r.d), list(r.m)) for r in rows.collect())
+    least = f"transform(sequence(1, {BANDS}), j -> array_min(transform(s, x -> struct(xxhash64(x, j) as h, x as x))).x)"
+    rows = rows.where("size(s) > 0").select("name", F.size("s").alias("n"), F.array_distinct("s").alias("d"), F.expr(_minima("s")).alias("m"), F.expr(f"array_distinct({least})").alias("x"))
+    return sorted((r.name, r.n, list(r.d), list(r.m), list(r.x)) for r in rows.collect())
 
 
 def _array(values: list[int]) -> str:
@@ -60,17 +82,21 @@ def _array(values: list[int]) -> str:
 def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, containment: float = 0.8) -> DataFrame:
     """Rows of ``doc_id``, license, containment (the best window's), start_word (of the first such window), n_shingles (of the template)."""
     known = compiled(docs.sparkSession, templates)
-    every = sorted({s for _, _, d, _ in known for s in d})
-    rows = docs.select(F.col(doc_id).alias("id"), F.expr(_shingles(f"`{text}`")).alias("s")).where(f"exists(s, x -> x in ({', '.join(f'{v}L' for v in every)}))")
+    within = lambda values: f"exists(s, x -> x in ({', '.join(f'{v}L' for v in sorted(set(values)))}))"
+    rows = docs.select(F.col(doc_id).alias("id"), F.expr(_shingles(f"`{text}`")).alias("s")).where(within(v for *_, x in known for v in x))
     parts = []
-    for name, n, distinct, minima in known:
+    for name, n, distinct, minima, seeds in known:
         step = max(1, n // 8)
-        found = f"exists(sequence(0, greatest(size(s) - {n}, 0), {step}), k -> exists(zip_with({_minima(f'slice(s, k + 1, {n})')}, {_array(minima)}, (a, b) -> a = b), e -> e))"
+        places = f"filter(transform(s, (x, i) -> if(x in ({', '.join(f'{v}L' for v in seeds)}), i, -1)), i -> i >= 0)"
+        last = f"greatest(size(s) - {n}, 0)"
+        windows = f"filter(array_union(sequence(0, {last}, {step}), array({last})), k -> exists(at, i -> i >= k and i < k + {n}))"
+        found = f"""aggregate(array({places}), false, (none, at) ->
+            exists({windows}, k -> exists(zip_with({_minima(f'slice(s, k + 1, {n})')}, {_array(minima)}, (a, b) -> a = b), e -> e)))"""
         hits = f"filter(transform(s, (x, i) -> struct(i as i, x as x)), h -> array_contains({_array(distinct)}, h.x))"
         share = f"cast(size(array_distinct(transform(filter(slice(hits, k, {n}), h -> h.i < get(hits, k - 1).i + {n}), h -> h.x))) as double) / {len(distinct)}"
         best = f"""aggregate(array({hits}), named_struct('c', 0D, 'at', 0L), (none, hits) -> aggregate(
             if(size(hits) = 0, cast(array() as array<int>), sequence(1, size(hits))), none,
             (acc, k) -> aggregate(array({share}), acc, (a, c) -> if(c > a.c, struct(c as c, cast(get(hits, k - 1).i as bigint) as at), a))))"""
-        parts.append(f"if(exists(s, x -> x in ({', '.join(f'{v}L' for v in distinct)})) and {found}, aggregate(array({best}), cast(null as struct<license:string,c:double,at:bigint,n:bigint>), (none, b) -> struct('{name}' as license, b.c as c, b.at as at, {n}L as n)), null)")
+        parts.append(f"if({within(seeds)} and {found}, aggregate(array({best}), cast(null as struct<license:string,c:double,at:bigint,n:bigint>), (none, b) -> struct('{name}' as license, b.c as c, b.at as at, {n}L as n)), null)")
     out = rows.select("id", F.explode(F.expr(f"filter(array({', '.join(parts)}), m -> m is not null and m.c >= {containment}D)")).alias("m"))
     return out.select(F.col("id").alias(doc_id), F.col("m.license").alias("license"), F.col("m.c").alias("containment"), F.col("m.at").alias("start_word"), F.col("m.n").alias("n_shingles"))
