@@ -15,15 +15,22 @@ from sparksift.session import checkpointed
 K1, B, RRF_K = 1.2, 0.75, 60
 
 
-def bm25(docs: DataFrame, query: list[str], *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def index(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, dl, t): each document's distinct tokens and their number, written once for any number of queries."""
+    return checkpointed(docs.select(F.col(doc_id), T.token_set(F.col(text)).alias("t")).select(doc_id, F.size("t").alias("dl"), "t"))
+
+
+def bm25(docs: DataFrame, query: list[str], *, doc_id: str = "doc_id", text: str = "text", indexed: bool = False) -> DataFrame:
     """(doc_id, kw_score) for every document: 0 without a match. Terms count once in a document, and its length is its distinct tokens.
 
     The average length needs all documents' token counts, so texts are tokenised in a single pass that keeps only
-    (id, length, matching terms), written once; frequencies and scores come from that.
+    (id, length, matching terms), written once; frequencies and scores come from that. ``indexed``: ``docs`` is an
+    ``index``, whose lengths and tokens are read as they are.
     """
     terms = list(dict.fromkeys(query))
-    slim = docs.select(F.col(doc_id), T.token_set(F.col(text)).alias("t"))
-    slim = checkpointed(slim.select(doc_id, F.size("t").alias("dl"), F.array_intersect("t", F.array(*(F.lit(q) for q in terms)).cast("array<string>")).alias("hits")))
+    all_ = docs if indexed else docs.select(F.col(doc_id), T.token_set(F.col(text)).alias("t")).withColumn("dl", F.size("t"))
+    slim = all_.select(doc_id, "dl", F.array_intersect("t", F.array(*(F.lit(q) for q in terms)).cast("array<string>")).alias("hits"))
+    slim = checkpointed(slim)
     sums = slim.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.avg("dl")).alias("avgdl"), *(F.count_if(F.array_contains("hits", q)).alias(f"df{i}") for i, q in enumerate(terms)))
     parts = [
         F.when(F.array_contains("hits", q), F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5) + 1) * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).otherwise(F.lit(0.0))
@@ -35,9 +42,9 @@ def bm25(docs: DataFrame, query: list[str], *, doc_id: str = "doc_id", text: str
     return slim.crossJoin(F.broadcast(sums)).select(doc_id, total.alias("kw_score"))  # one row of sums
 
 
-def document_frequency(docs: DataFrame, *, text: str = "text", terms: list[str] | None = None) -> DataFrame:
-    """(term, df, n, idf); of all terms, or of some."""
-    t = T.token_set(F.col(text))
+def document_frequency(docs: DataFrame, *, text: str = "text", terms: list[str] | None = None, indexed: bool = False) -> DataFrame:
+    """(term, df, n, idf); of all terms, or of some; of documents, or of their ``index``."""
+    t = F.col("t") if indexed else T.token_set(F.col(text))
     if terms is not None:
         t = F.array_intersect(t, F.array(*(F.lit(q) for q in terms)).cast("array<string>"))
     df = docs.select(F.explode(t).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
