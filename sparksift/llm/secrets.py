@@ -30,6 +30,7 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{24,}"
 ALLOW = r"(?i:example|sample|placeholder|lorem|xxxx|0123456789|abcdefgh)"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 24
+BLOCK = 64
 HEX_BITS, BASE64_BITS = 3.0, 3.8
 KINDS = ("assign", "access", "hex", "hex_entropy", "base64_entropy")
 
@@ -42,18 +43,26 @@ _FOUND = "cast(array() as array<struct<start:int,kind:int,stop:int,value:string,
 
 
 def _spans(text: str, kind: int, pattern: str, group: int, least: int, gate: str) -> str:
-    """SQL for the array of (start, kind, stop, value) of a pattern's matches whose ``group`` has ``least`` characters."""
+    """SQL for the array of (start, kind, stop, value) of a pattern's matches whose ``group`` has ``least`` characters.
+
+    Running lengths are taken within blocks of ``BLOCK`` matches and then over the blocks, so that an array grows by
+    one match at a time within a block only, however many matches a long text has.
+    """
     p = _lit(pattern)
-    hits = f"regexp_extract_all({text}, {p}, 0)"
-    return f"""
-    if({gate}, filter(aggregate(
-        zip_with(slice(split({text}, {p}, -1), 1, size({hits})),
-                 zip_with({hits}, regexp_extract_all({text}, {p}, {group}), (m, g) -> struct(m as m, g as g)),
-                 (gap, x) -> struct(length(gap) as gap, x.m as m, length(x.g) as g)),
-        struct(0 as at, {_FOUND} as found),
-        (acc, x) -> struct(acc.at + x.gap + length(x.m) as at,
-                           concat(acc.found, array(struct(acc.at + x.gap as start, {kind} as kind, acc.at + x.gap + length(x.m) as stop, x.m as value, x.g as g))) as found),
-        acc -> acc.found), s -> s.g >= {least}), {_FOUND})"""
+    pieces = f"""aggregate(array(regexp_extract_all({text}, {p}, 0)), cast(array() as array<struct<gap:int,m:string,g:int>>), (none, hits) ->
+        zip_with(slice(split({text}, {p}, -1), 1, size(hits)), zip_with(hits, {'hits' if not group else f'regexp_extract_all({text}, {p}, {group})'}, (m, g) -> struct(m as m, g as g)),
+                 (gap, x) -> struct(length(gap) as gap, x.m as m, length(x.g) as g)))"""
+    blocks = f"""aggregate(array({pieces}), cast(array() as array<array<struct<gap:int,m:string,g:int>>>), (none, x) ->
+        transform(if(size(x) = 0, cast(array() as array<int>), sequence(0, (size(x) - 1) div {BLOCK})), b -> slice(x, cast(b * {BLOCK} + 1 as int), {BLOCK})))"""
+    sums = "transform(x, b -> aggregate(b, 0, (n, s) -> n + s.gap + length(s.m)))"
+    offsets = "transform(sums, (n, i) -> aggregate(slice(sums, 1, i), 0, (a, k) -> a + k))"
+    within = f"""aggregate(b, struct(at as at, {_FOUND} as found),
+        (acc, s) -> struct(acc.at + s.gap + length(s.m) as at,
+                           concat(acc.found, array(struct(acc.at + s.gap as start, {kind} as kind, acc.at + s.gap + length(s.m) as stop, s.m as value, s.g as g))) as found),
+        acc -> acc.found)"""
+    spans = f"""aggregate(array({blocks}), {_FOUND}, (none, x) -> aggregate(array({sums}), {_FOUND}, (none2, sums) ->
+        flatten(zip_with(x, {offsets}, (b, at) -> {within}))))"""
+    return f"if({gate}, filter({spans}, s -> s.g >= {least}), {_FOUND})"
 
 
 def _most_entropy(run: str, window: int) -> str:
