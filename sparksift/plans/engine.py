@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,12 +85,12 @@ def search_files(files: DataFrame, query: str, *, embed: Embedder | None = None,
             best = checkpointed(retrieval.max_chunk_similarity(vectors.select("path", "chunk_index", "score"), "path", "chunk_index", "score"))  # the service is asked here, once
             scored = base.join(best, "path", "left").withColumn("sem_score", F.coalesce("sem_score", F.lit(float("-inf"))))
             status = "ok"
-        except Exception:  # the service is outside; a request still gets an answer
+        except (OSError, RuntimeError, ValueError, PythonException):  # the service is outside; a request still gets an answer
             scored, status = base, "failed_fallback_bm25"
     ok = status == "ok"
     out = scored if ok else scored.withColumn("sem_score", F.lit(None).cast("double"))
-    out = retrieval.ranks(out, "kw_score", "kw_rank", "ord", "path")
-    out = retrieval.ranks(out, "sem_score", "sem_rank", "ord", "path").withColumn("rrf", retrieval.rrf("sem_rank", "kw_rank")) if ok else out.withColumn("rrf", retrieval.rrf("kw_rank"))
+    out = retrieval.ranked(out, "kw_score", "kw_rank", "ord", "path")
+    out = retrieval.ranked(out, "sem_score", "sem_rank", "ord", "path").withColumn("rrf", retrieval.rrf("sem_rank", "kw_rank")) if ok else out.withColumn("rrf", retrieval.rrf("kw_rank"))
     return out.where(retrieval.relevant(embedded=ok)).orderBy(F.desc("rrf"), "ord", "path").limit(k).select("path", "kw_score", "sem_score", "rrf"), status
 
 

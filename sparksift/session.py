@@ -39,13 +39,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the session's shared folder (spark.checkpoint.dir; one of our own only where it is unset) and read again, which cuts its lineage."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for intermediate frames: the session's spark.checkpoint.dir; where it is unset, one of its own if all runs on this machine."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_sparksift_folder", None)
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = sc._sparksift_folder = tempfile.mkdtemp(prefix="sparksift-")
-    path = f"{folder}/frame-{uuid4().hex}"
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written once to the session's shared folder and read again, which cuts its lineage."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/frame-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -66,7 +66,9 @@ def ignored(files: DataFrame, rules: list[Rule], path: str = "path", output: str
 
 def scan(spark: SparkSession, root: str, rules: list[Rule] | None = None, max_files: int | None = 10_000) -> DataFrame:
     """(path, body, lang, mtime) of the supported files below a root, by path, without skipped and dot folders and ignored paths."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    either = lambda suffix: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in suffix)
+    names = "*{" + ",".join(map(either, T.LANGUAGES)) + "}"  # other files are not read
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(root)
     base = root.split("://")[-1].rstrip("/") + "/"
     full = F.regexp_replace("path", "^[a-z]+:/{1,3}", "/")
     rows = raw.select(F.substring_index(full, base, -1).alias("path"), "modificationTime", "content")

@@ -7,6 +7,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparksift.session import shared_dir
 from sparksift.sources.logs import MUTATION
 
 HORIZON = "30 days"
@@ -35,10 +36,7 @@ def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complet
 
 def strongest_once(spark: SparkSession, events: DataFrame) -> DataFrame:
     """A batch of events put through the stream: written to the shared folder, read as a stream to its end, and the state's last table."""
-    import tempfile
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparksift-")
-    base = f"{folder}/stream-{uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid4().hex}"
     events.write.parquet(f"{base}/in")
     stream = strongest(spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).parquet(f"{base}/in"))
 
