@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from sparksift.session import shared_dir
+
 SLICE_BYTES = 2 << 20
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
@@ -129,15 +131,8 @@ def substrings(text: np.ndarray, n: int) -> np.ndarray:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: the session's spark.checkpoint.dir; where it is unset, one of its own."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = getattr(sc, "_sparksift_dir", None)
-        if not found:
-            import tempfile
-
-            found = sc._sparksift_dir = tempfile.mkdtemp(prefix="sparksift-")
+    """The shared folder for intermediate tables, which is also set as the context's where it has none."""
+    sc, found = spark.sparkContext, shared_dir(spark)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(found)
     return found
