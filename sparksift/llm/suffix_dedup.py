@@ -38,7 +38,7 @@ SLICE = 8 << 20
 #: Contexts in a suffix array: positions and two ranks of 21 bits fill a sort key.
 ARRAY = 24_000
 #: Copies up to which their ids and keys are broadcast (16 bytes each); beyond, they are joined by shuffling.
-BROADCAST_KEYS = 2_000_000
+BROADCAST_KEYS = 500_000
 #: Copies of one text beyond which its least id is broadcast (at most rows / ``HEAVY`` texts), and shares for the others.
 HEAVY, SHARES = 100_000, 8
 _NONE = np.iinfo(np.int64).max

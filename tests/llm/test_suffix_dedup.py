@@ -36,7 +36,7 @@ def by_force(rows, n):
     return sorted(out)
 
 
-@pytest.mark.parametrize("heavy, few, kind", [(100_000, 2_000_000, "long"), (2, 0, "int"), (2, 2_000_000, "string")])
+@pytest.mark.parametrize("heavy, few, kind", [(100_000, 500_000, "long"), (2, 0, "int"), (2, 500_000, "string")])
 def test_covered_by_force(spark, monkeypatch, heavy, few, kind):
     monkeypatch.setattr(sd, "HEAVY", heavy)
     monkeypatch.setattr(sd, "BROADCAST_KEYS", few)
