@@ -83,15 +83,19 @@ class Model:
     labels: np.ndarray
 
     def embed(self, counts: np.ndarray) -> np.ndarray:
-        x = weighted(counts, self.idf) @ self.axes
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        return unit(weighted(counts, self.idf) @ self.axes)
 
 
-def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Log frequencies by inverse document frequencies, each group of terms of length one (or none, without its terms)."""
-    x = np.log1p(counts) * idf
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def weighted(counts: np.ndarray, idf: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """Log frequencies by inverse document frequencies, each group of terms of length one (or none, without its terms); ``out`` may be the counts."""
+    x = np.log1p(counts, out=out)
+    x *= idf
     for lo, hi in pairwise(GROUPS):
-        x[:, lo:hi] /= np.maximum(np.linalg.norm(x[:, lo:hi], axis=1, keepdims=True), 1e-12)
+        x[:, lo:hi] /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x[:, lo:hi], x[:, lo:hi]))[:, None], 1e-12)
     return x
 
 
@@ -112,16 +116,18 @@ def fit(labelled: DataFrame, *, text: str = "text", label: str = "label", key: s
     for i, r in enumerate(rows):
         both = np.frombuffer(r.f, np.uint32)
         x[i, both[len(both) // 2 :]] = both[: len(both) // 2]
-    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
-    w = weighted(x, idf)
+    labels = np.array([r.l for r in rows], np.float64)
+    del rows
+    idf = (np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))) + 1).astype(np.float32)
+    w = weighted(x, idf, out=x)  # in place: the driver holds one matrix of ``max_train`` x ``FEATURES``, 148 MB at the defaults
     dims = min(dims, *w.shape) if len(x) else 1
     probe = np.random.default_rng(seed).standard_normal((FEATURES, dims + 16)).astype(np.float32)
     for _ in range(3):  # power iterations of the randomised decomposition
         probe = np.linalg.qr(w.T @ (w @ probe))[0]
     _, _, v = np.linalg.svd(w @ probe, full_matrices=False)
     axes = (probe @ v.T[:, :dims]).astype(np.float32)
-    model = Model(idf, axes, np.zeros((0, dims), np.float32), np.array([r.l for r in rows], np.float64))
-    model.vectors = model.embed(x)
+    model = Model(idf, axes, np.zeros((0, dims), np.float32), labels)
+    model.vectors = unit(w @ axes)
     return model
 
 
