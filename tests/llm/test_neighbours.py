@@ -46,3 +46,23 @@ def test_huge_and_tiny_components(spark):
     x = np.vstack([RNG.standard_normal((30, 4)) * 1e150, RNG.standard_normal((30, 4)) * 1e-150, np.full((1, 4), 1e160)])
     got = neighbours.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), lambda i: i % 20 == 0).collect()
     assert {r.query_id for r in got} == {0, 20, 40, 60} and len(got) == 80 and not any(np.isnan(r.score) for r in got)
+
+
+def test_a_shard_measures_its_beam():
+    x, q = RNG.standard_normal((3000, 48)), RNG.standard_normal((64, 48))
+    g, asked = neighbours.Graph(x, batch=100), neighbours._asking(q)
+    some, most = g.fitting(asked, 4, 64, 512), g.fitting(asked, 21, 64, 512)
+    assert some <= most
+    for beam, nearest in ((some, 4), (most, 21)):
+        ids, _ = g.search(asked, beam)
+        true = np.argsort(-(q @ x.T), axis=1)  # not by the lifted points: those order alike
+        near = np.argsort(-(asked @ g.points.T), axis=1)[:, :nearest]
+        assert (near[:, 0] == true[:, 0]).mean() > 0.95
+        assert np.mean([np.isin(t, f).mean() for t, f in zip(near, ids, strict=True)]) >= neighbours.RECALL
+    assert g.fitting(asked[:0], 4, 64, 512) == 512
+    assert g.fitting(asked, 4, 64, 512) < 512  # every query took 512 in every shard before
+
+
+def test_shards_grow_slower_than_points():
+    assert [neighbours.shards_of(n, 1000) for n in (0, 900, 3600, 4000, 16_000, 64_000)] == [1, 1, 4, 4, 8, 16]
+    assert neighbours.shards_of(10_000_000, 1000) == 1000  # of 10,000 points each
